@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from stowage.llm import exact_dedup
+from stowage.llm import best_fit_packing, exact_dedup, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_best_fit_packing": best_fit_packing.op4_best_fit_packing,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }
