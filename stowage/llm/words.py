@@ -35,8 +35,12 @@ def powers(base: int, n: int) -> np.ndarray:
 _VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 _LOWER = _VALUES.copy()
 _LOWER[65:91] = _VALUES[97:123]
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[list(SPACES)] = False
+#: Kinds of bytes: 0 parts tokens, and a token is a run of one other kind.
+BY_SPACES = np.ones(256, np.int8)
+BY_SPACES[list(SPACES)] = 0
+BY_MARKS = BY_SPACES.copy()
+BY_MARKS[[i for i in range(128) if BY_SPACES[i] and not chr(i).isalnum()]] = 2
+ONLY_WORDS = BY_MARKS % 2
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
@@ -54,12 +58,12 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
 class Words:
     """The words of some texts: ``hashes``, their byte ranges in ``buffer``, and per text the range ``first[i]:first[i+1]``."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = True, kinds: np.ndarray = BY_SPACES) -> None:
         raw = b" " + b" ".join(texts) + b" "
         self.buffer = np.frombuffer(raw, np.uint8)
-        inside = _IS_WORD[self.buffer]
-        change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        self.starts, self.ends = change[0::2], change[1::2]
+        kind = kinds[self.buffer]
+        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        self.starts, self.ends = change[kind[change] > 0], change[kind[change - 1] > 0]
         n = len(self.buffer)
         value = (_LOWER if lower else _VALUES)[self.buffer]
         total = np.zeros(n + 1, U)
