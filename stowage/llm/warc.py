@@ -39,6 +39,9 @@ END = b"\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
 REVISIT_BYTES = 1000
 FILE_BYTES = 8 << 20
+#: Groups of equal payloads are broadcast up to this size, at so many bytes each; beyond it they are joined by shuffling.
+BROADCAST_BYTES = 32 << 20
+KEY_BYTES = 160
 ID_PREFIX = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -169,7 +172,10 @@ def plan(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     large = F.octet_length("payload") >= least
     keyed = rows.withColumn("key", F.when(large, F.sha2("payload", 256)))
     first = keyed.where("key is not null").groupBy("key").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    joined = keyed.join(first.select("key", "first_id"), "key", "left")
+    first = Scratch(pages.sparkSession).store(first.select("key", "first_id"), "first")
+    if first.count() * KEY_BYTES <= BROADCAST_BYTES:  # then payloads needn't move to find their group
+        first = F.broadcast(first)
+    joined = keyed.join(first, "key", "left")
     # of a group without any page number none can be referred to
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("first_id")).alias("refers_to"))
