@@ -38,8 +38,8 @@ from stowage.llm.words import ONLY_WORDS, U, Words, _BASE, _INVERSE, chunks, mix
 from stowage.tables import table
 
 BUCKETS = 1 << 18
-SIZES = (3, 4, 5, 6)
-WINDOW = 4
+SIZES = (3, 5, 7, 9)
+WINDOW = 2
 DIMENSIONS = 8
 THRESHOLD = 0.7
 
@@ -121,7 +121,7 @@ class _Trainer:
         self.rng = np.random.default_rng(seed)
         seen, counts, grams, text_words, lengths = np.zeros(0, U), [], [], [], []
         order: list[np.ndarray] = []
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 1 << 19):
             bags = Bags(texts[a:b])
             hashes = bags.words.hashes
             text_words.append(hashes)
@@ -186,7 +186,7 @@ class _Trainer:
         return (np.add.reduceat(table[self.grams], self.start[:-1]) / self.count)[self.word]
 
 
-def train(rows: list[tuple[bytes, int]], rounds: int = 5, rate: float = 0.1, seed: int = 7, batch: int = 128) -> Model:
+def train(rows: list[tuple[bytes, int]], rounds: int = 16, rate: float = 0.1, seed: int = 7, batch: int = 128) -> Model:
     """Fits a model to (text, 0 or 1); one without effect if a class is missing."""
     rng = random.Random(seed)
     texts = [fold(t.decode("utf-8", "replace")) for t, _ in rows]
@@ -203,8 +203,10 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 5, rate: float = 0.1, see
             part = chosen[i : i + size]
             t.step([(a, b) for a, b, _ in part], np.array([k for *_, k in part]), rate)
 
-    pass_over(list(spans), batch // 4)
-    for _ in range(rounds):
+    # small samples are gone over more often
+    for _ in range(max(1, min(10, 3000 // len(spans)))):
+        pass_over(list(spans), batch // 4)
+    for _ in range(max(rounds, min(40, 40_000 // len(spans)))):
         words, chosen = t.words(), []
         for a, b, k in spans:
             s = window_scores(words[a:b])
