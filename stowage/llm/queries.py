@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stowage.llm import best_fit_packing, exact_dedup, html_text, toxicity, warc
+from stowage.llm import best_fit_packing, exact_dedup, html_text, quality, toxicity, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_best_fit_packing": best_fit_packing.op4_best_fit_packing,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
