@@ -217,17 +217,25 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 16, rate: float = 0.1, se
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``toxicity`` from 0 to 1, all other columns as they were."""
+    """(doc_id, toxicity) of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            made = model.scores(batch.column(batch.schema.get_field_index("_text")).to_pylist())
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(made, pa.float64())], names=[n for n, _ in kept] + ["toxicity"])
+            made = model.scores(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], names=["doc_id", "toxicity"])
 
-    docs = docs.drop("toxicity")
-    schema = docs.schema.add("toxicity", "double")
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, toxicity double")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the texts that score ``threshold`` or more, all columns as they were."""
+    column = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(column).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -236,5 +244,5 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))

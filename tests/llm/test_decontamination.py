@@ -58,8 +58,6 @@ def test_against_brute_force(spark, tmp_path):
     got = d.op5_decontamination(spark, str(tmp_path)).collect()
     key = lambda rows: sorted(rows, key=str)
     assert key((r.doc_id, r.item_id, round(r.similarity, 6), r.first_word) for r in got) == key(brute_all(docs, items))
-    small = d.BLOCK_BYTES
-    assert small
     kept = d.clean(frame, spark.createDataFrame(items, "item_id long, text string"))
     bad = {r.doc_id for r in got}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for n, (i, t) in enumerate(docs) if not brute([(i, t)], items))

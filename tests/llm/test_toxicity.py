@@ -55,7 +55,8 @@ def test_query(spark, tmp_path):
     assert np.mean(right) > 0.9
     model = toxicity.train([])
     assert toxicity.score(docs.limit(0), model).count() == 0
-    assert toxicity.score(docs, model).columns == ["doc_id", "text", "toxicity"]
+    kept = toxicity.clean(docs, toxicity.train([(t.encode(), k) for t, k in texts(600, 1)], rounds=3))
+    assert kept.columns == docs.columns and 150 < kept.count() < 260
 
 
 def test_sample_is_learned_from_the_right_rows(spark):
