@@ -1 +1,51 @@
-"""See the module docstrings."""
+"""Block codecs: store, byte Huffman, and LZ77 with dynamic Huffman. Plain functions on bytes, in numpy.
+
+``encode_block`` and ``decode_content`` choose by method. Streams are most
+significant bit first; blocks are padded to bytes and follow each other
+without an index.
+"""
+
+from __future__ import annotations
+
+from stowage.codec.bits import CodecError
+from stowage.codec.levels import DEFLATE, HUFFMAN, METHODS, NONE, block_size, check_level
+
+__all__ = ["CodecError", "DEFLATE", "HUFFMAN", "METHODS", "NONE", "block_size", "decode_content", "encode_block", "encode_content"]
+
+
+def encode_block(raw: bytes, method: int, level: int) -> bytes:
+    """One block encoded; it is a final one if shorter than the block size."""
+    from stowage.codec import deflate, huffman
+
+    check_level(method, level)
+    if method == NONE or not raw:
+        return raw
+    size = block_size(method, level)
+    if len(raw) > size:
+        raise CodecError(f"a block of {len(raw)} bytes, over {size}")
+    coder = huffman.encode if method == HUFFMAN else deflate.encode
+    return coder(raw, level, len(raw) < size)
+
+
+def split(raw: bytes, method: int, level: int) -> list[bytes]:
+    size = block_size(method, level)
+    return [raw[i : i + size] for i in range(0, len(raw), size)]
+
+
+def encode_content(raw: bytes, method: int, level: int) -> bytes:
+    return b"".join(encode_block(b, method, level) for b in split(raw, method, level))
+
+
+def decode_content(data: bytes, method: int, level: int) -> bytes:
+    """The content of encoded blocks; ``CodecError`` if they are malformed."""
+    from stowage.codec import deflate, huffman
+
+    check_level(method, level)
+    if method == NONE:
+        return data
+    decoder = huffman.decode if method == HUFFMAN else deflate.decode
+    out, at, size = [], 0, block_size(method, level)
+    while at < len(data):
+        block, at = decoder(data, at, size)
+        out.append(block)
+    return b"".join(out)
