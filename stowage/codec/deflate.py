@@ -11,6 +11,8 @@ from stowage.codec.trees import canonical, code_lengths, lookup, read_lengths, w
 END = 256
 FINAL, DYNAMIC = 0b100, 0b010
 LITLEN, DIST = 286, 30
+#: Bytes looked at together when decoding.
+SEGMENT = 4096
 
 
 def _stripped(lengths: np.ndarray, least: int) -> np.ndarray:
@@ -54,44 +56,68 @@ def decode(data: bytes, byte: int, size: int) -> tuple[bytes, int]:
     symbols, sizes = lookup(both[:n_lengths])
     dist_symbols, dist_sizes = lookup(both[n_lengths:])
 
-    # what a token would be at every bit position, and then the chain of those that are
-    base = reader.at >> 3
-    part = data[base : base + 2 * size + 64]
-    limit = 8 * len(part)
-    window = np.concatenate([windows(part + bytes(8)), np.zeros(16, np.uint32)])
-    n = limit + 1
-    symbol, step = symbols[window[:n] >> 1], sizes[window[:n] >> 1]
+    base, here = reader.at >> 3, reader.at & 7
+    lengths, distances, done, size_so_far = [], [], False, 0
+    while not done:
+        length, distance, after, stop = _candidates(data[base : base + SEGMENT + 16], symbols, sizes, dist_symbols, dist_sizes)
+        limit = min(8 * SEGMENT, 8 * (len(data) - base))
+        chain = []
+        if here >= limit:
+            raise CodecError("unexpected end of data")
+        while here < limit:
+            step = after[here]
+            if step < 0:
+                raise CodecError("invalid code")
+            if stop[here]:
+                here, done = step, True
+                break
+            chain.append(here)
+            here = step
+        found = np.array(chain, np.int64)
+        lengths.append(length[found])
+        distances.append(distance[found])
+        size_so_far += int(np.where(distances[-1] > 0, lengths[-1], 1).sum())
+        if size_so_far > size:
+            raise CodecError("more data than a block holds")
+        if here >= 8 * SEGMENT and not done:
+            base, here = base + SEGMENT, here - 8 * SEGMENT
+    end = base + (here + 7 >> 3)
+    if end > len(data):
+        raise CodecError("unexpected end of data")
+    length, distance = np.concatenate(lengths), np.concatenate(distances)
+    match = distance > 0
+    literals = length[~match].astype(np.uint8).tobytes()
+    gaps = np.cumsum(~match)[match]
+    try:
+        out = lz77.expand(length[match].tolist(), distance[match].tolist(), gaps.tolist(), literals)
+    except ValueError as e:
+        raise CodecError(str(e)) from None
+    return out, end
+
+
+def _candidates(part: bytes, symbols: np.ndarray, sizes: np.ndarray, dist_symbols: np.ndarray, dist_sizes: np.ndarray):
+    """What a token would be at each bit position of a segment: (length or literal, distance, where the next begins or -1, whether it is the end)."""
+    window = np.concatenate([windows(part + bytes(16)), np.zeros(64, np.uint32)])
+    n = 8 * SEGMENT
+    if len(window) < n + 256:
+        window = np.concatenate([window, np.zeros(n + 256 - len(window), np.uint32)])
+    prefix = window[:n] >> 1
+    symbol, step = symbols[prefix], sizes[prefix]
     after = np.arange(n) + step
     bad = step == 0
-    length, distance = symbol.copy(), np.zeros(n, np.int64)
+    length, distance = symbol.astype(np.int64), np.zeros(n, np.int64)
     at = np.flatnonzero(symbol > END)
     s = symbol[at] - 257
     p = after[at]
     extra = lz77.LENGTH_EXTRA[s]
     length[at] = lz77.LENGTH_BASE[s] + (window[p] >> (16 - extra).astype(np.uint32))
-    p = np.minimum(p + extra, len(window) - 1)
-    d, d_size = dist_symbols[window[p] >> 1], dist_sizes[window[p] >> 1]
+    p = p + extra
+    prefix = window[p] >> 1
+    d, d_size = dist_symbols[prefix], dist_sizes[prefix]
     bad[at] |= d_size == 0
-    p = np.minimum(p + d_size, len(window) - 1)
+    p = p + d_size
     extra = lz77.DISTANCE_EXTRA[d]
     distance[at] = lz77.DISTANCE_BASE[d] + (window[p] >> (16 - extra).astype(np.uint32))
     after[at] = p + extra
-    after[bad] = n
-    follow, stop = after.tolist(), (symbol == END).tolist()
-    here, chain = reader.at & 7, []
-    while here < n and not stop[here]:
-        chain.append(here)
-        here = follow[here]
-    if here >= n or follow[here] > limit:
-        raise CodecError("invalid code or unexpected end of data")
-    found = np.array(chain, np.int64)
-    match = distance[found] > 0
-    literals = length[found][~match].astype(np.uint8).tobytes()
-    gaps = np.cumsum(~match)[match]
-    if len(literals) + int(length[found][match].sum()) > size:
-        raise CodecError("more data than a block holds")
-    try:
-        out = lz77.expand(length[found][match].tolist(), distance[found][match].tolist(), gaps.tolist(), literals)
-    except ValueError as e:
-        raise CodecError(str(e)) from None
-    return out, base + (follow[here] + 7 >> 3)
+    after[bad] = -1
+    return length, distance, after.tolist(), (symbol == END).tolist()

@@ -8,6 +8,8 @@ from stowage.codec.bits import CodecError, Fields, Reader, windows
 from stowage.codec.trees import canonical, code_lengths, lookup, read_lengths, write_lengths
 
 END = 256
+#: Bytes looked at together when decoding.
+SEGMENT = 4096
 
 
 def encode(raw: bytes, level: int, final: bool) -> bytes:
@@ -27,19 +29,27 @@ def decode(data: bytes, byte: int, size: int) -> tuple[bytes, int]:
     """The block at ``byte``, and the byte where it ends: at its end symbol or after ``size`` bytes."""
     reader = Reader(data, byte)
     symbols, sizes = lookup(read_lengths(reader, 257))
-    base = reader.at >> 3
-    part = data[base : base + 2 * size + 16]
-    prefix = windows(part) >> 1
-    symbol, step = symbols[prefix].tolist(), sizes[prefix].tolist()
-    out, at, limit = [], reader.at & 7, 8 * len(part)
+    out, base, at = bytearray(), reader.at >> 3, reader.at & 7
     while len(out) < size:
-        if at >= limit or not step[at]:
-            raise CodecError("invalid code or unexpected end of data")
-        s = symbol[at]
-        at += step[at]
+        prefix = windows(data[base : base + SEGMENT + 2])[: 8 * SEGMENT] >> 1
+        symbol, step = symbols[prefix].tolist(), sizes[prefix].tolist()
+        limit = min(8 * SEGMENT, 8 * (len(data) - base))
+        if at >= limit:
+            raise CodecError("unexpected end of data")
+        s = 0
+        while at < limit and len(out) < size:
+            s = symbol[at]
+            if not step[at]:
+                raise CodecError("invalid code")
+            at += step[at]
+            if s == END:
+                break
+            out.append(s)
         if s == END:
             break
-        out.append(s)
-    if at > limit:
+        if at >= 8 * SEGMENT:
+            base, at = base + SEGMENT, at - 8 * SEGMENT
+    end = base + (at + 7 >> 3)
+    if end > len(data):
         raise CodecError("unexpected end of data")
-    return bytes(out), base + (at + 7 >> 3)
+    return bytes(out), end
