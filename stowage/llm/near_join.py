@@ -9,12 +9,12 @@ within their first n - ceil(t n) + 1, so only those are indexed. Small sets
 near the boundary are indexed too, for partners beyond it.
 
 Equal sets are one class from the start. In a list, sets are first compared
-with the list's smallest set alone; what links becomes one component. Then
+with the list's most central set alone; what links becomes one component. Then
 only pairs of sets from different components are compared, which loses no
-component and spares all pairs inside a group of copies. Before texts are
-fetched, a pair must pass a parity sketch of about one bit per shingle: the
-sketches of two sets differ in at most as many bits as the sets in elements,
-so the filter never drops a link. Remaining pairs are compared exactly.
+component and spares all pairs inside a group of copies. Such pairs must pass
+parity sketches, a short one while they are joined and one of about a bit per
+shingle before texts are fetched: the sketches of two sets differ in at most
+as many bits as the sets in elements, so they never drop a link. Remaining pairs are compared exactly.
 
 Scale: lists are never gathered; hubs come from aggregates combined before
 shuffling, pairs from joins that can be split when skewed. Which shingles are
@@ -36,7 +36,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.components import connected
@@ -50,6 +50,8 @@ REFINEMENTS = 3
 SUBSET_COST = 16
 BROADCAST_BYTES = 32 << 20
 MIN_BITS = 64
+#: Bits of the sketch that joins look at.
+MARK_BITS = 512
 
 
 class Rule:
@@ -94,9 +96,9 @@ def bits_for(n: int) -> int:
     return max(MIN_BITS, 1 << (n - 1).bit_length())
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """The parity of the number of elements in each of about as many buckets as there are elements."""
-    bits = bits_for(len(shingles))
+def sketch(shingles: np.ndarray, bits: int = 0) -> bytes:
+    """The parity of the number of elements in each bucket; about as many buckets as there are elements, or ``bits``."""
+    bits = bits or bits_for(len(shingles))
     counts = np.bincount((mix(shingles) & U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -123,26 +125,28 @@ def facts(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            found = [(set_number(s), len(s), sketch(s)) if len(s) else (None, 0, None) for s in shingle_sets(_texts(batch, 2), rule.width)]
-            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_number", "set_id", "n", "sketch"])
+            found = [(set_number(s), len(s), sketch(s), list(memoryview(sketch(s, MARK_BITS)).cast("q"))) if len(s) else (None, 0, None, None) for s in shingle_sets(_texts(batch, 3), rule.width)]
+            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "text_number", "text_check", "set_id", "n", "sketch", "marks"])
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_number"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_number long, set_id long, n int, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *numbers(text), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_number long, text_check int, set_id long, n int, sketch binary, marks array<long>")
 
 
 def frequent(docs: DataFrame, rule: Rule, at_once: int = 4_000_000) -> DataFrame:
-    """Shingles that some task saw in three documents or more of a stretch, with those counts summed."""
+    """Shingles that some task saw in two documents or more of a stretch, with those counts summed.
+
+    With T tasks this finds the shingles in more than about sqrt(8 T) documents.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]):
         held: list[np.ndarray] = []
-        seen: set[bytes] = set()
         size = 0
 
         def out():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= 3
+            keep = counts >= 2
             return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["shingle", "count"])
 
         for batch in batches:
@@ -156,7 +160,7 @@ def frequent(docs: DataFrame, rule: Rule, at_once: int = 4_000_000) -> DataFrame
             yield out()
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, count long")
-    return counts.groupBy("shingle").agg(F.sum("count").alias("count")).where("count >= 16")
+    return counts.groupBy("shingle").agg(F.sum("count").alias("count")).where("count >= 8")
 
 
 def heaviest(counts: DataFrame, limit: int = HEAVY) -> np.ndarray:
@@ -242,20 +246,22 @@ def close_enough(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame
     return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, n_ids: int, rule: Rule) -> DataFrame:
-    """(set_id, text) with one text for each set of ``ids``."""
+def numbers(text: Column) -> list[Column]:
+    """Two numbers by which a text is found again without shingling it."""
+    return [F.xxhash64(text).alias("text_number"), F.hash(text).alias("text_check")]
 
-    def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            numbers = [set_number(s) if len(s) else None for s in shingle_sets(_texts(batch, 0), rule.width)]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column(0)], names=["set_id", "text"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "set_id long, text string")
-    rows = rows.join(F.broadcast(ids) if n_ids * 48 <= BROADCAST_BYTES else ids, "set_id", "left_semi")
+def texts_of(docs: DataFrame, ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_id, text) with one text for each set of ``ids``, stored."""
+    keys = sets.join(ids, "set_id").select("set_id", "first.text_number", "first.text_check")
+    if keys.count() * 64 <= BROADCAST_BYTES:
+        keys = F.broadcast(keys)
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text"), *numbers(text)).join(keys, ["text_number", "text_check"])
     return rows.groupBy("set_id").agg(F.first("text").alias("text"))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b), stored, that link by exact comparison. Many pairs should share their a."""
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -270,7 +276,7 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch, name
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     ids = scratch.store(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), f"{name}-ids")
-    texts = scratch.store(texts_of(docs, ids, ids.count(), rule), f"{name}-texts")
+    texts = scratch.store(texts_of(docs, ids, sets), f"{name}-texts")
     one, two = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(two, "b").join(one, "a")
     out = scratch.store(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), f"{name}-links")
@@ -290,7 +296,8 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     rule = rule or Rule()
     scratch = Scratch(docs.sparkSession)
     known = scratch.store(facts(docs, rule), "facts")
-    sets = known.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    text = F.min(F.struct("text_number", "text_check")).alias("first")
+    sets = scratch.store(known.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"), text), "sets")
 
     heavy = heaviest(frequent(docs, rule))
     for turn in range(REFINEMENTS + 1):
@@ -306,15 +313,18 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     hits = scratch.store(lists.join(counts.select("shingle"), "shingle").distinct(), "hits")
     scratch.drop(f"lists{turn}", f"counts{turn}")
     spread = classed(hits, rule.percent)
-    fits = F.col("least_n") * 100 >= F.col("n") * rule.percent
 
-    # first each list's sets against its smallest alone
-    hubs = spread.groupBy("shingle", "size").agg(F.min(F.when(F.col("own"), F.struct("n", "set_id"))).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1 and hub is not null")
-    hubs = hubs.select("shingle", "size", F.col("hub.set_id").alias("a"), F.col("hub.n").alias("least_n"))
-    stars = spread.join(hubs, ["shingle", "size"]).where(fits & (F.col("set_id") != F.col("a"))).select("a", F.col("set_id").alias("b")).distinct()
-    sketches = sets
+    def fits(n: str, m: str) -> Column:
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * rule.percent)
+
+    # first each list's sets against its most central one alone: the one that is in most lists, as an original is among its copies
+    central = hits.groupBy("set_id").agg((-F.count(F.lit(1))).alias("rank"))
+    best = F.min(F.when(F.col("own"), F.struct("rank", "n", "set_id"))).alias("hub")
+    hubs = spread.join(central, "set_id").groupBy("shingle", "size").agg(best, F.count(F.lit(1)).alias("k")).where("k > 1 and hub is not null")
+    hubs = hubs.select("shingle", "size", F.col("hub.set_id").alias("a"), F.col("hub.n").alias("n_a"))
+    stars = spread.join(hubs, ["shingle", "size"]).where(fits("n_a", "n") & (F.col("set_id") != F.col("a"))).select("a", F.col("set_id").alias("b")).distinct()
     tried = scratch.store(stars, "stars")
-    first = linked(scratch.store(close_enough(tried, sketches, rule), "close1"), docs, rule, scratch, "first")
+    first = linked(scratch.store(close_enough(tried, sets, rule), "close1"), docs, sets, rule, scratch, "first")
     links = scratch.store(first.unionByName(small_links(docs, rule)), "links1")
     roots = connected(links, scratch, "roots1")
 
@@ -323,12 +333,18 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     split = placed.groupBy("shingle", "size").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle", "size")
     groups = placed.join(split, ["shingle", "size"]).select("shingle", "size", "root").distinct()
     cross = groups.alias("g").join(groups.alias("h"), ["shingle", "size"]).where("g.root <> h.root").select("shingle", "size", F.col("g.root").alias("root"), F.col("h.root").alias("root_b"))
-    ones = placed.where("own").join(cross, ["shingle", "size", "root"]).select("shingle", "size", F.col("root_b").alias("root"), F.col("set_id").alias("a"), F.col("n").alias("least_n"))
-    pairs = ones.join(placed, ["shingle", "size", "root"]).where(fits & (F.struct("least_n", "a") < F.struct("n", "set_id"))).select("a", F.col("set_id").alias("b")).distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    rest = scratch.store(close_enough(pairs, sketches, rule), "close2")
+    marked = placed.join(split, ["shingle", "size"], "left_semi").join(sets.select("set_id", "marks"), "set_id")
+    ones = marked.where("own").join(cross, ["shingle", "size", "root"]).select("shingle", "size", F.col("root_b").alias("root"), F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
+    differ = sum((F.bit_count(F.get("marks", i).bitwiseXOR(F.get("marks_a", i))) for i in range(MARK_BITS // 64)), F.lit(0))
+    both = F.col("n") + F.col("n_a")
+    may_link = differ <= both - 2 * F.floor((rule.percent * both + 99 + rule.percent) / (100 + rule.percent))
+    met = ones.join(marked, ["shingle", "size", "root"]).where(fits("n_a", "n") & (F.struct("n_a", "a") < F.struct("n", "set_id")) & may_link)
+    pairs = met.select("a", F.col("set_id").alias("b")).distinct()
+    done = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    pairs = pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    rest = scratch.store(close_enough(pairs, sets, rule), "close2")
     if not rest.isEmpty():
-        links = scratch.store(links.unionByName(linked(rest, docs, rule, scratch, "rest")), "links2")
+        links = scratch.store(links.unionByName(linked(rest, docs, sets, rule, scratch, "rest")), "links2")
         roots = connected(links, scratch, "roots2")
     scratch.drop("hits", "placed", "stars")
     return known.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "text_number", "n", F.coalesce("root", "set_id").alias("component"))
@@ -347,9 +363,11 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     found = clusters(docs, rule)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_number")
     first = found.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
-    kept = found.join(first, "component", "left").where(F.col("component").isNull() | order.eqNullSafe(F.col("first")))
-    keys = kept.select(F.col("doc_id").alias("_id"), F.col("text_number").alias("_text"))
-    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text")), "left_semi")
+    gone = found.join(first, "component").where(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("text_number").alias("_text"))
+    gone = Scratch(docs.sparkSession).store(gone, "gone")
+    if gone.count() * 64 <= BROADCAST_BYTES:  # then texts needn't move
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_text")), "left_anti")
 
 
 ORACLE_SQL = """
