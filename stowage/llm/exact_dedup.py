@@ -35,6 +35,8 @@ CHUNK = 4096
 COMPARE_CHUNK = 1 << 16
 #: Groups up to this many bytes are broadcast to pick the rows worth comparing; beyond it all rows are compared.
 BROADCAST_BYTES = 32 << 20
+#: What a dropped row's key takes in a broadcast, at most.
+GONE_BYTES = 160
 _GAPS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
@@ -198,14 +200,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without all but the first row of each group of equal texts, all columns as they were."""
-    found = exact_duplicates(docs)
+    scratch = Scratch(docs.sparkSession)
+    found = exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    found = scratch.store(found, "decisions")
+    gone = found.where("not stays").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    if gone.count() * GONE_BYTES <= BROADCAST_BYTES:  # then texts needn't move
+        gone = F.broadcast(gone)
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ").cast("binary"), 256)
-    keys = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
     out = docs.withColumn("_own", digest)
-    out = out.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
-    # rows that repeat doc_id and text pass the semi-join together; only where there are any, one of each is picked
-    repeated = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeated.isEmpty():
+    out = out.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_anti")
+    # rows that repeat doc_id and text stay together; only where there are any, one of each is picked
+    if not found.where("stays and rows > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "_own"])
     return out.drop("_own")
 
