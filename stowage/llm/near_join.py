@@ -330,16 +330,18 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
     # then sets of different components that share a list
     placed = scratch.store(spread.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "placed")
-    split = placed.groupBy("shingle", "size").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle", "size")
-    groups = placed.join(split, ["shingle", "size"]).select("shingle", "size", "root").distinct()
-    cross = groups.alias("g").join(groups.alias("h"), ["shingle", "size"]).where("g.root <> h.root").select("shingle", "size", F.col("g.root").alias("root"), F.col("h.root").alias("root_b"))
-    marked = placed.join(split, ["shingle", "size"], "left_semi").join(sets.select("set_id", "marks"), "set_id")
-    ones = marked.where("own").join(cross, ["shingle", "size", "root"]).select("shingle", "size", F.col("root_b").alias("root"), F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
+    # the sets outside a list's largest component against all others in it
+    parts = placed.groupBy("shingle", "size", "root").agg(F.count(F.lit(1)).alias("k"))
+    mains = parts.groupBy("shingle", "size").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    marked = placed.join(mains, ["shingle", "size"]).join(sets.select("set_id", "marks"), "set_id")
+    odd = marked.where("root <> main").select("shingle", "size", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("root").alias("root_a"), F.col("marks").alias("marks_a"))
     differ = sum((F.bit_count(F.get("marks", i).bitwiseXOR(F.get("marks_a", i))) for i in range(MARK_BITS // 64)), F.lit(0))
     both = F.col("n") + F.col("n_a")
     may_link = differ <= both - 2 * F.floor((rule.percent * both + 99 + rule.percent) / (100 + rule.percent))
-    met = ones.join(marked, ["shingle", "size", "root"]).where(fits("n_a", "n") & (F.struct("n_a", "a") < F.struct("n", "set_id")) & may_link)
-    pairs = met.select("a", F.col("set_id").alias("b")).distinct()
+    in_order = F.struct("n_a", "a") < F.struct("n", "set_id")
+    once = (in_order | (F.col("root") == F.col("main"))) & F.when(in_order, F.col("own_a")).otherwise(F.col("own"))
+    met = odd.join(marked, ["shingle", "size"]).where((F.col("root_a") != F.col("root")) & fits("n_a", "n") & once & may_link)
+    pairs = met.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     pairs = pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
     rest = scratch.store(close_enough(pairs, sets, rule), "close2")
