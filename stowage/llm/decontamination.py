@@ -4,8 +4,8 @@ Texts become lower-case words without punctuation; a text's shingles are its
 runs of five words, weighted by how often each occurs (an item with fewer
 words is one shingle). For each item length a window of that many words slides
 over a document word by word. A window needs at least ``THRESHOLD`` of an
-item's shingles, so windows with fewer item shingles in them are passed over:
-running sums of hits show this without looking at windows one by one.
+item's shingles, so windows with fewer shingles of items of that length are
+passed over: running sums of hits show this without looking at each window.
 
 The 128-bit SimHash of each window left is looked up in a multi-index: the
 bits are cut into ``RADIUS`` + 1 blocks, so a fingerprint within the radius
@@ -104,34 +104,46 @@ class Items:
             kinds.append((width, n))
         self.kinds = kinds
         self.index = MultiIndex(np.array(prints, U).reshape(-1, 2))
-        #: per shingle width the item shingles, sorted, and the item lengths
+        #: per shingle width the item shingles, sorted, the least item length, and the item lengths of each shingle
         self.widths = {}
         for width in sorted({w for w, _ in kinds}):
-            own = [i for i, k in enumerate(kinds) if k[0] == width]
-            self.widths[width] = np.unique(np.array([g for i in own for g in self.bags[i]], U)), sorted({kinds[i][1] for i in own})
+            lengths: dict[int, set[int]] = {}
+            for i in (i for i, k in enumerate(kinds) if k[0] == width):
+                for g in self.bags[i]:
+                    lengths.setdefault(g, set()).add(kinds[i][1])
+            self.widths[width] = np.array(sorted(lengths), U), min(set.union(*lengths.values())), lengths
 
     def scan(self, texts: list[str | None]):
         """(text number, item number, similarity, first word, words, distance) of each match."""
         raw = [fold(t) for t in texts]
         for a, b in chunks(raw):
             words = Words(raw[a:b], kinds=ONLY_WORDS)
-            for width, (known, lengths) in self.widths.items():
+            for width, (known, shortest, lengths) in self.widths.items():
                 grams = words.ngrams(width)
                 hit = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
                 sums = np.concatenate([[0], np.cumsum(hit)])
-                least = self.threshold * (lengths[0] - width + 1)
+                least = self.threshold * (shortest - width + 1)
                 for i in range(b - a):
                     lo, hi = words.first[i], words.first[i + 1]
                     if hi - lo >= width and sums[hi - width + 1] - sums[lo] >= least:
-                        yield from ((a + i, *m) for m in self._windows(grams[lo : hi - width + 1], sums[lo : hi - width + 2], width, lengths))
+                        yield from ((a + i, *m) for m in self._windows(grams[lo : hi - width + 1], np.flatnonzero(hit[lo : hi - width + 1]), width, lengths))
 
-    def _windows(self, grams: np.ndarray, sums: np.ndarray, width: int, lengths: list[int]):
+    def _windows(self, grams: np.ndarray, hits: np.ndarray, width: int, lengths: dict[int, set[int]]):
         best: dict[int, tuple] = {}
         n = len(grams)
         starts = np.arange(n)
-        for length in lengths:
+        by_length: dict[int, list[int]] = {}
+        for at, gram in zip(hits.tolist(), grams[hits].tolist(), strict=True):
+            for length in lengths[gram]:
+                by_length.setdefault(length, []).append(at)
+        for length, own in sorted(by_length.items()):
             shingles = length - width + 1
+            if len(own) < self.threshold * shingles - 1e-9:
+                continue
             ends = np.minimum(starts + shingles, n)
+            sums = np.zeros(n + 1, np.int64)
+            sums[np.array(own) + 1] = 1
+            sums = np.cumsum(sums)
             for s in np.flatnonzero(sums[ends] - sums[:-1] >= self.threshold * shingles - 1e-9):
                 window = grams[s : ends[s]]
                 bag = None
