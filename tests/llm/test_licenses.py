@@ -76,3 +76,51 @@ def test_query(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in got) == sorted(["1", "1", "None"] + ["3"] * 500)
     assert {(r.license, r.dice) for r in got} == {("cc-by-nc-4.0-line", 1.0)}
     assert licenses.scan(spark.createDataFrame(rows[:0], "doc_id long, text string, license int")).count() == 0
+
+
+GNU = (
+    "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+    "Foo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    "See the GNU {0} for more details. You should have received a copy of the GNU {0} along with Foo. If not, see <http://www.gnu.org/licenses/>."
+)
+KINDRED = {
+    "gpl-2.0-or-later": GNU.format("General Public License", "2"),
+    "gpl-3.0-or-later": GNU.format("General Public License", "3"),
+    "lgpl-3.0-or-later": GNU.format("Lesser General Public License", "3"),
+    "agpl-3.0-or-later": GNU.format("Affero General Public License", "3"),
+    "cc-by-nd-4.0": "This book is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This book is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "bsd-3-clause": licenses.TEMPLATES["bsd-2-clause"].replace("THIS SOFTWARE IS", "Neither the name of Foo Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS"),
+}
+
+
+def test_kindred_licences_are_told_apart():
+    scanner = licenses.Scanner()
+    for name, text in KINDRED.items():
+        found = [r[1] for r in scanner.scan([f"some words {text} more words"])]
+        assert found == [name]
+
+
+def test_bodies_are_whole():
+    tail = "SUCH DAMAGE."
+    assert licenses.TEMPLATES["bsd-2-clause"].endswith(tail) and "unlicense.org" in licenses.TEMPLATES["unlicense"]
+
+
+def test_altered_whole_texts_keep_their_name():
+    scanner = licenses.Scanner()
+    names = "agpl-3.0 apache-2.0 epl-1.0 gpl-1.0 gpl-2.0 gpl-3.0 lgpl-2.0 lgpl-2.1 lgpl-3.0 mpl-1.1 mpl-2.0 gfdl-1.2 gfdl-1.3 cc0-1.0 artistic-1.0".split()
+    for name in names:
+        text = licenses.TEMPLATES[f"{name}-text"].split()
+        text[20::60] = ["changed"] * len(text[20::60])
+        (found,) = scanner.scan([" ".join(text)])
+        assert found[1] == f"{name}-text" and 0.9 < found[2] < 1
+
+
+def test_repeated_bigrams_against_brute_force():
+    rng = random.Random(5)
+    templates = {"a": "x y x y x z", "b": "y x y y x y z x", "c": "x x x x y"}
+    texts = [" ".join(rng.choices("xyzw", k=rng.randrange(40))) for _ in range(200)]
+    got = {}
+    for i, name, dice, first, n in licenses.Scanner(templates).scan(texts):
+        got.setdefault(i, []).append((name, round(dice, 6), first, n))
+    assert got and got == {i: found for i, t in enumerate(texts) if (found := brute(t, templates, licenses.THRESHOLD))}
