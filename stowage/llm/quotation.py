@@ -1,12 +1,16 @@
 """Conversations rebuilt from quotations, with DataFrame functions only.
 
 A message's lines carry a quote level: the number of ``>`` marks that they
-begin with. Runs of lines of one level are passages. Passages are normalised
+begin with. Runs of lines of one level are passages; so are the paragraphs
+(parted by blank lines), lines and sentences of a run, sentences being taken
+across line breaks since mail clients wrap anew. Passages are normalised
 (lower case; letters, digits and single spaces alone) and hashed; so are the
-unquoted passages of every message, as a whole and line by line. A quoted
-passage is linked to the first message of its conversation that wrote it
+same passages of every message's unquoted runs, and its unquoted text as a whole.
+A quoted passage is linked to the first message of its conversation that wrote it
 before. A message answers the message that its outermost linked passage comes
-from; without one it begins a thread. Messages come out without quotations and
+from, then its first quotation, then its longest passage; without one it begins a
+thread. A quotation that begins or ends within a sentence, and is no whole line,
+is not linked. Messages come out without quotations and
 without the attribution line above a quotation, each with its thread, its depth
 in it and its chat-formatted text. Sorting by (conversation, thread,
 turn) gives reply order: every message follows the one it answers.
@@ -31,6 +35,10 @@ from stowage.tables import Scratch, table
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
 ATTRIBUTION = r"(?i)^\s*(?:on\b.*\bwrote|.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
+PARAGRAPH = r"\n(?:[\s\p{Z}]*\n)+"
+#: A sentence ends before spaces, after its marks and closing quotes or brackets; ideographic marks need no spaces.
+SENTENCE = r"(?<=[.!?…][\"'”’»)\]]{0,3})[\s\p{Z}]+|(?<=[。！？][」』”’）]{0,3})(?![。！？」』”’）])"
+ITEM = r"(?m)^[ \t]*(?:[-*+•]|\p{N}{1,3}[.)]|\p{L}[.)])[ \t]+"
 LEAST_LETTERS = 3
 MAX_ROUNDS = 64
 
@@ -67,8 +75,8 @@ def passages(lines: Column) -> Column:
     return F.transform(starts, run)
 
 
-def body(runs: Column) -> Column:
-    """The unquoted lines, without the attribution line that stands right above a quotation."""
+def unquoted(runs: Column) -> Column:
+    """The lines of each unquoted run, without the attribution line that stands right above a quotation; none for quoted runs."""
 
     def own(x: Column, i: Column) -> Column:
         quoted_next = F.coalesce(F.get(runs, i + 1)["level"] > 0, F.lit(False))
@@ -78,14 +86,26 @@ def body(runs: Column) -> Column:
         cut = quoted_next & F.element_at(kept, -1).rlike(ATTRIBUTION)
         return F.when(x["level"] > 0, F.array().cast("array<string>")).when(cut, F.slice(kept, 1, F.size(kept) - 1)).otherwise(x["lines"])
 
-    return F.trim(F.array_join(F.flatten(F.transform(runs, own)), "\n"))
+    return F.transform(runs, own)
 
 
-def hashes(text: Column, keep: Column | None = None) -> Column:
-    """Numbers of the whole of a text and of each of its lines, those with too few letters left out."""
-    whole = F.concat(F.array(text), F.split(text, "\n"))
-    norms = F.array_distinct(F.filter(F.transform(whole, normalised), lambda x: F.length(x) >= LEAST_LETTERS))
-    return F.transform(norms, lambda x: F.xxhash64(x))
+def body(own: Column) -> Column:
+    """The text of ``unquoted`` lines."""
+    return F.trim(F.array_join(F.flatten(own), "\n"))
+
+
+def parts(lines: Column) -> Column:
+    """A run as a whole, its paragraphs, its lines and its sentences."""
+    text = F.array_join(lines, "\n")
+    paragraphs = F.split(text, PARAGRAPH)
+    sentences = F.flatten(F.transform(paragraphs, lambda x: F.split(F.regexp_replace(x, ITEM, ""), SENTENCE)))
+    return F.concat(F.array(text), paragraphs, lines, sentences)
+
+
+def hashes(texts: Column) -> Column:
+    """(length, hash) of the distinct normalised texts, those with too few letters left out."""
+    norms = F.array_distinct(F.filter(F.transform(texts, normalised), lambda x: F.length(x) >= LEAST_LETTERS))
+    return F.transform(norms, lambda x: F.struct(F.length(x).alias("length"), F.xxhash64(x).alias("hash")))
 
 
 def rebuild(messages: DataFrame) -> DataFrame:
@@ -93,17 +113,18 @@ def rebuild(messages: DataFrame) -> DataFrame:
     scratch = Scratch(messages.sparkSession)
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), levelled(F.col("text").cast("string")).alias("lines"))
     rows = rows.select("conv_id", "turn", "role", passages(F.col("lines")).alias("runs"))
-    rows = rows.select("conv_id", "turn", "role", body(F.col("runs")).alias("content"), F.filter("runs", lambda x: x["level"] > 0).alias("quoted"))
+    rows = rows.select("conv_id", "turn", "role", unquoted(F.col("runs")).alias("own"), F.filter("runs", lambda x: x["level"] > 0).alias("quoted"))
     parsed = scratch.store(rows.withColumn("quotes", F.size("quoted")), "parsed")
     known = parsed.where("conv_id is not null and turn is not null")
 
-    written = known.select("conv_id", "turn", F.explode(hashes(F.col("content"))).alias("hash"))
+    pieces = F.concat(F.array(body(F.col("own"))), F.flatten(F.transform("own", parts)))
+    written = known.select("conv_id", "turn", F.explode(hashes(pieces)["hash"]).alias("hash"))
     origin = written.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    quoted = known.select("conv_id", "turn", F.posexplode("quoted").alias("place", "q")).select("conv_id", "turn", "place", "q.level", hashes(F.array_join(F.col("q.lines"), "\n")).alias("all"))
-    quoted = quoted.select("conv_id", "turn", "place", "level", F.posexplode("all").alias("part", "hash"))
+    quoted = known.select("conv_id", "turn", F.posexplode("quoted").alias("place", "q")).select("conv_id", "turn", "place", "q.level", hashes(parts(F.col("q.lines"))).alias("all"))
+    quoted = quoted.select("conv_id", "turn", "place", "level", F.posexplode("all").alias("part", "x")).select("conv_id", "turn", "place", "level", "part", "x.*")
     linked = quoted.join(origin, ["conv_id", "hash"]).where("origin < turn")
-    # the outermost, then the first, then the most complete passage decides
-    first = F.min(F.struct("level", "place", "part", (-F.col("origin")).alias("late"))).alias("first")
+    # the outermost, then the first, then the longest passage decides
+    first = F.min(F.struct("level", "place", (-F.col("length")).alias("short"), "part", (-F.col("origin")).alias("late"))).alias("first")
     replies = scratch.store(linked.groupBy("conv_id", "turn").agg(first).select("conv_id", "turn", (-F.col("first.late")).alias("reply_to")), "replies")
 
     # (root, depth) by pointer jumping: a message points at the furthest ancestor known so far
@@ -116,7 +137,7 @@ def rebuild(messages: DataFrame) -> DataFrame:
         paths = stored.drop("moved")
         if stored.where("moved").isEmpty():
             break
-    placed = parsed.join(replies, ["conv_id", "turn"], "left").join(paths.withColumnRenamed("up", "root"), ["conv_id", "turn"], "left")
+    placed = parsed.withColumn("content", body(F.col("own"))).join(replies, ["conv_id", "turn"], "left").join(paths.withColumnRenamed("up", "root"), ["conv_id", "turn"], "left")
     chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>"))
     return placed.select("conv_id", "turn", "role", "content", "reply_to", F.col("quotes").cast("long").alias("quotes"), F.coalesce("root", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), chat.alias("chat"))
 

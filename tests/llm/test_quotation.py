@@ -1,4 +1,6 @@
+import random
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -93,3 +95,47 @@ def test_against_brute_force(spark, tmp_path):
 
 def test_empty(spark):
     assert q.rebuild(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+LINK = [
+    (1, 0, "user", "The first paragraph begins here.\nIt ends here.\n\nAnother one follows."),
+    (1, 1, "user", "> The first paragraph\n> begins here. It ends here.\nwrapped anew"),
+    (1, 2, "user", "My own answer\nin two lines\n> Another one follows.\nand an afterthought, also\nin two"),
+    (1, 3, "user", "> My own answer in two lines\nto the upper run"),
+    (1, 4, "user", "> and an afterthought,\n> also in two\nto the lower run"),
+    (1, 5, "user", "One thing. Is it so (or not?) Who knows! The rest\nof it is this. 答えはこれです。次の文です。"),
+    (1, 6, "user", "> Who knows!\na sentence of a line"),
+    (1, 7, "user", "> The rest of it is this.\na sentence across lines"),
+    (1, 8, "user", "> 次の文です。\nwithout spaces"),
+    (1, 9, "user", "1. Apples are red.\n2. Pears are green. They are sweet."),
+    (1, 10, "user", "> They are sweet.\nan item's second sentence"),
+    (1, 11, "user", "> 1. Nobody wrote this.\nonly the number is known"),
+    (1, 12, "user", "> Who knows! The first paragraph begins here. Surely\nthe longer decides"),
+]
+
+
+def test_any_passage_is_linked(spark):
+    got = {r.turn: r.reply_to for r in q.rebuild(spark.createDataFrame(LINK, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: 0, 2: 0, 3: 2, 4: 2, 5: None, 6: 5, 7: 5, 8: 5, 9: None, 10: 9, 11: None, 12: 0}
+
+
+def test_rewrapped_quotations_of_known_origin(spark):
+    rng = random.Random(7)
+    rows, expected = [], {}
+    for conv in range(40):
+        origins = []
+        for turn in range(4):
+            paragraphs = [[" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(2, 8))) + rng.choice(".!?") for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]
+            own = "\n\n".join(textwrap.fill(" ".join(x), rng.randint(15, 60)) for x in paragraphs)
+            reply, quote = None, ""
+            if origins:
+                reply = rng.randrange(turn)
+                paragraph = rng.choice(origins[reply])
+                a = rng.randrange(len(paragraph))
+                some = paragraph[a : rng.randint(a + 1, len(paragraph))]
+                quote = textwrap.indent(textwrap.fill(" ".join(some), rng.randint(15, 60)), "> ") + "\n"
+            origins.append(paragraphs)
+            rows.append((conv, turn, "user", rng.choice([quote + own, own + "\n" + quote])))
+            expected[conv, turn] = reply
+    got = {(r.conv_id, r.turn): r.reply_to for r in q.rebuild(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == expected
