@@ -10,7 +10,7 @@ A quoted passage is linked to the first message of its conversation that wrote i
 before. A message answers the message that its outermost linked passage comes
 from, then its first quotation, then its longest passage; without one it begins a
 thread. A quotation that begins or ends within a sentence, and is no whole line,
-is not linked. Messages come out without quotations and
+is not linked, nor is one without letters and digits. Messages come out without quotations and
 without the attribution line above a quotation, each with its thread, its depth
 in it and its chat-formatted text. Sorting by (conversation, thread,
 turn) gives reply order: every message follows the one it answers.
@@ -39,7 +39,7 @@ PARAGRAPH = r"\n(?:[\s\p{Z}]*\n)+"
 #: A sentence ends before spaces, after its marks and closing quotes or brackets; ideographic marks need no spaces.
 SENTENCE = r"(?<=[.!?…][\"'”’»)\]]{0,3})[\s\p{Z}]+|(?<=[。！？][」』”’）]{0,3})(?![。！？」』”’）])"
 ITEM = r"(?m)^[ \t]*(?:[-*+•]|\p{N}{1,3}[.)]|\p{L}[.)])[ \t]+"
-LEAST_LETTERS = 3
+LEAST_LETTERS = 1
 MAX_ROUNDS = 64
 
 
@@ -103,8 +103,8 @@ def parts(lines: Column) -> Column:
 
 
 def hashes(texts: Column) -> Column:
-    """(length, hash) of the distinct normalised texts, those with too few letters left out."""
-    norms = F.array_distinct(F.filter(F.transform(texts, normalised), lambda x: F.length(x) >= LEAST_LETTERS))
+    """(length, hash) of the distinct normalised texts, those without letters and digits left out. Each distinct text is normalised once."""
+    norms = F.array_distinct(F.filter(F.transform(F.array_distinct(texts), normalised), lambda x: F.length(x) >= LEAST_LETTERS))
     return F.transform(norms, lambda x: F.struct(F.length(x).alias("length"), F.xxhash64(x).alias("hash")))
 
 

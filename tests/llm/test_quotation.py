@@ -139,3 +139,11 @@ def test_rewrapped_quotations_of_known_origin(spark):
             expected[conv, turn] = reply
     got = {(r.conv_id, r.turn): r.reply_to for r in q.rebuild(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == expected
+
+
+def test_short_passages_are_linked(spark):
+    rows = [(c, 0, "user", text) for c, text in enumerate(["No", "OK", "42", "是的", "はい。", "x"])]
+    rows += [(c, 1, "user", f"> {text}\nwhy?") for c, _, _, text in rows]
+    rows += [(10, 0, "user", "No"), (10, 1, "user", "A longer answer."), (10, 2, "user", "> No\n> A longer answer.\nwell"), (10, 3, "user", "> ...\nwell")]
+    got = {(r.conv_id, r.turn): r.reply_to for r in q.rebuild(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(c, t): 0 if t else None for c in range(6) for t in (0, 1)} | {(10, 0): None, (10, 1): None, (10, 2): 1, (10, 3): None}
