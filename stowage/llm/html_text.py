@@ -5,7 +5,8 @@ its text (outside links, where no article is marked); lines inside menus, header
 notices, adverts, forms and comment sections weigh nothing, nor do lines
 outside the article where the page marks one. Weights are summed over sliding
 windows of ``WINDOW`` lines. Where the sum surges above the threshold a span
-begins, and where it dives to nothing the span ends; the text between is kept.
+begins, and where it dives to nothing the span ends; the text between is kept, where no article is
+marked with the lines wholly inside links among it.
 
 The threshold is nothing where the page marks its article, since then only
 article lines weigh; elsewhere a span must reach ``SURGE`` at some window. If
@@ -223,10 +224,13 @@ def extract(html: str | None) -> str:
     weights = [w for _, w in found]
     kept: list[str] = []
     for a, b in spans(weights, 0 if marked else SURGE):
-        # a window reaches ahead of the line that made it surge
-        while a < b and not weights[a]:
-            a += 1
-        kept += [t for t, w in found[a:b] if t and w]
+        if marked:
+            kept += [t for t, w in found[a:b] if w]
+            continue
+        # weights only place the span: linked lines in it stay, but not those that its first window reaches across an aside
+        first = next(i for i in range(a, b) if weights[i])
+        start = max((i + 1 for i in range(a, first) if not found[i][0]), default=a)
+        kept += [t for t, _ in found[start:b] if t]
     return "\n".join(kept)
 
 

@@ -48,3 +48,16 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted((tuple(r) for r in h.op1_html_text(spark, str(tmp_path)).collect()), key=str)
     assert got == [(1, "u", "é", 1), (1, "u", "é", 1), (None, None, "", 0)]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<h2><a href=1>Title</a></h2><p>{LONG}</p><p><a href=2>a linked paragraph</a></p><p>end</p>", f"Title\n{LONG.strip()}\na linked paragraph\nend"),
+        (f"<p><a href=1>before</a></p><nav>menu</nav><p>{LONG}</p>", LONG.strip()),
+        (f"<p>{LONG}</p><p><a href=1>one</a></p><p><a href=1>two</a></p><p><a href=1>three</a></p><p>short</p>", LONG.strip()),
+        (f"<p>outside</p><article><p>{LONG}</p></article><p>outside</p><article><p>x</p></article>", f"{LONG.strip()}\nx"),
+    ],
+)
+def test_linked_lines_between_surge_and_dive(html, want):
+    assert h.extract(html) == want
