@@ -330,8 +330,7 @@ for _level in (0, 4, 8):
 
 @query("select 'docs/' || source || '/' || lang || '/' || doc_id || '.txt' as path, sha256(text) as digest from documents where source = 'src1'")
 def extract_by_prefix(spark, d):
-    own = catalog.within(docs(spark, d), "docs/src1")
-    made = own.withColumn("payload", udfs.encode_content("content", F.lit(codec.DEFLATE), F.lit(1))["data"]).withColumn("method", F.lit(codec.DEFLATE).cast("tinyint")).withColumn("level", F.lit(1).cast("tinyint"))
+    made = docs(spark, d).withColumn("payload", udfs.encode_content("content", F.lit(codec.DEFLATE), F.lit(1))["data"]).withColumn("method", F.lit(codec.DEFLATE).cast("tinyint")).withColumn("level", F.lit(1).cast("tinyint"))
     found = written(spark, made, Scratch(spark))
     return blocks.decode_contents(catalog.within(found, "docs/src1")).select("path", F.sha2("content", 256).alias("digest"))
 

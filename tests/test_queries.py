@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from stowage.plans import catalog_queries
 from stowage.plans.catalog_queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -31,3 +32,10 @@ def test_query(spark, duck, name):
         assert plain(got) == plain(duck.execute(ORACLE_SQL[name]).df())
     else:
         assert len(got)
+
+
+def test_extract_by_prefix_writes_all_documents(spark, monkeypatch):
+    made, write = [], catalog_queries.written
+    monkeypatch.setattr(catalog_queries, "written", lambda *a: made.append(write(*a)) or made[0])
+    got = QUERIES["extract_by_prefix"](spark, DATA).count()
+    assert got < made[0].count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
