@@ -7,8 +7,8 @@ import numpy as np
 from stowage.codec.levels import LAZY_THRESHOLDS
 
 MIN_MATCH, MAX_MATCH, MAX_DISTANCE = 3, 258, 32768
-#: How many earlier places are tried for each position, by level.
-TRIES = (1, 2, 3, 4, 6, 8, 12, 16, 24)
+#: How many earlier places are tried for each position, by level; at the highest all within ``MAX_DISTANCE``.
+TRIES = (1, 2, 3, 4, 6, 8, 12, 16, MAX_DISTANCE)
 
 
 def _bases(first: int, groups: int, per_group: int) -> tuple[np.ndarray, np.ndarray]:

@@ -149,3 +149,11 @@ def test_rules_of_the_format():
     assert lz77.expand([7], [2], [2], b"ab!") == b"ababababa!"
     size = codec.block_size(1, 1)
     assert huffman.decode(huffman.encode(b"a" * size, 1, False), 0, size)[0] == b"a" * size
+
+
+def test_highest_level_tries_all_places():
+    from stowage.codec import lz77
+
+    near = b"".join(b"abc" + bytes([200 + i % 50, 100 + i // 50]) for i in range(300))
+    lengths, distances = lz77.tokens(b"abcdefgh" + near + b"abcdefgh", 8)
+    assert (lengths[-1], distances[-1]) == (8, 8 + len(near))
