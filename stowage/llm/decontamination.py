@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.words import ONLY_WORDS, U, Words, chunks, mix
+from stowage.llm.words import ONLY_WORDS, U, Words, chunks, mix, rows_by_bytes
 from stowage.tables import table
 
 WIDTH = 5
@@ -175,7 +175,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def scanner(items: Items):
         def run(batches: Iterable[pa.RecordBatch]):
-            for batch in batches:
+            for batch in rows_by_bytes(batches, 1):
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[i], items.ids[j], *rest) for i, j, *rest in items.scan(batch.column(1).to_pylist())]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
@@ -196,7 +196,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def keeper(items: Items, column: int):
         def run(batches: Iterable[pa.RecordBatch]):
-            for batch in batches:
+            for batch in rows_by_bytes(batches, column):
                 held = {i for i, *_ in items.scan(batch.column(column).to_pylist())}
                 yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
 

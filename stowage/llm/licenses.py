@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.words import ONLY_WORDS, U, Words, chunks
+from stowage.llm.words import ONLY_WORDS, U, Words, chunks, rows_by_bytes
 from stowage.tables import table
 
 THRESHOLD = 0.8
@@ -215,7 +215,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     def run(batches: Iterable[pa.RecordBatch]):
         scanner = Scanner(templates, threshold) if templates else standard(threshold)
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 1):
             ids = batch.column(0).to_pylist()
             rows = [(ids[i], *rest) for i, *rest in scanner.scan(batch.column(1).to_pylist())]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import labelled
-from stowage.llm.words import BY_MARKS, U, Words, chunks, mix
+from stowage.llm.words import BY_MARKS, U, Words, chunks, mix, rows_by_bytes
 from stowage.tables import table
 
 BUCKETS = 1 << 19
@@ -94,7 +94,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, quality) of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 1):
             made = scores(batch.column(1).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], names=["doc_id", "quality"])
 

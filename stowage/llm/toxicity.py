@@ -5,18 +5,20 @@ edges marked) and of the word itself, all hashed into one table, so an unseen
 misspelling or ending shares most of its vectors with words that were seen. A
 window of ``WINDOW`` words averages their vectors, and a linear softmax over
 the two classes scores it. A text scores as its most toxic window, so a few
-words in a long text aren't diluted.
+words in a long text aren't diluted; by default a window is a single word.
 
 The table and the softmax are fitted together by Adagrad: first on whole-text
 averages, then on windows: the most toxic window of toxic texts against the
-most toxic and random windows of the others, picked anew in each round. Part of the words
+most toxic and random windows of the others, picked anew in each round. Errors on
+toxic windows weigh more, by the root of the ratio of the classes. Part of the words
 are misspelled at random while learning.
 
 Since window scores are linear in the vectors, scoring needs one number per
 n-gram bucket (1 MB), and no Python code per word.
 
 Scale: fitting sees a bounded sample on the driver (see ``labelled``);
-scoring is one map over documents without a shuffle.
+scoring is one map over documents without a shuffle. Texts are scored in pieces
+of ``SLICE_BYTES``, so memory beside a text doesn't grow with it.
 
 Defined results: null and empty texts score as a window without words; rows
 are scored one by one, so repeats and clashing columns don't matter; without
@@ -26,7 +28,7 @@ any labelled row of either class every score is 0; no rows in, no rows out.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import labelled
-from stowage.llm.words import ONLY_WORDS, U, Words, _BASE, _INVERSE, chunks, mix, powers
+from stowage.llm.words import DOWN, ONLY_WORDS, SLICE_BYTES, U, UP, VALUES, Words, chunks, mix, rows_by_bytes
 from stowage.tables import table
 
 BUCKETS = 1 << 18
-SIZES = (3, 5, 7, 9)
-WINDOW = 2
+SIZES = (3, 4, 5, 6)
+WINDOW = 1
 DIMENSIONS = 8
 THRESHOLD = 0.7
 
@@ -48,34 +50,66 @@ def fold(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
+def folded(text: str | None, limit: int = SLICE_BYTES) -> Iterator[bytes]:
+    """``fold(text)`` in pieces of about ``limit`` characters that end at spaces, which no lower-casing looks across."""
+    text = text or ""
+    start = 0
+    while len(text) - start > limit:
+        stop = text.rfind(" ", start, start + limit) + 1
+        if stop <= start:
+            stop = text.find(" ", start + limit) + 1 or len(text)
+        yield fold(text[start:stop])
+        start = stop
+    yield fold(text[start:])
+
+
+def grams(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, bucket) of the byte n-grams of the words in ``raw``, one size and slice at a time.
+
+    ``raw`` begins and ends with a gap. Gaps of any kind look alike, and mark the edges of words.
+    """
+    reach = max(SIZES) - 1
+    before = 0  # words begun before the slice
+    for base in range(0, len(raw), SLICE_BYTES - reach):
+        part = np.frombuffer(raw, np.uint8, min(SLICE_BYTES, len(raw) - base), base)
+        n, own = len(part), min(SLICE_BYTES - reach, len(part))
+        inside = ONLY_WORDS[part] > 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        begins[0] &= base == 0 or not ONLY_WORDS[raw[base - 1]]
+        word = np.cumsum(begins, dtype=np.int32)
+        gaps = np.concatenate([[0], np.cumsum(~inside, dtype=np.int32)])
+        total = np.zeros(n + 1, U)
+        np.cumsum(np.where(inside, VALUES[part], U(1)) * UP[:n], out=total[1:])
+        for size in SIZES:
+            at = np.arange(max(0, min(own, n - size + 1)))
+            at = at[gaps[at + size - 1] == gaps[at + 1]]
+            made = mix((total[at + size] - total[at]) * DOWN[at] + U(size)) & U(BUCKETS - 1)
+            yield word[at + 1] + (before - 1), made.astype(np.int32)
+        before += int(word[own - 1])
+
+
 class Bags:
     """The words of some texts with their n-gram buckets: ``grams[k]`` belongs to word ``owner[k]``."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        found = self.words = Words(texts, kinds=ONLY_WORDS)
-        n = len(found.buffer)
-        inside = np.zeros(n + 1, np.int64)
-        inside[found.starts] += 1
-        starts = np.cumsum(inside)  # words begun up to each byte
-        inside[found.ends] -= 1
-        gap = (np.cumsum(inside)[:n] == 0).astype(np.int64)  # edges of words are marked by the gap beside them
-        gaps = np.concatenate([[0], np.cumsum(gap)])
-        back = powers(_INVERSE, n)
-        owners, grams = [np.arange(len(found.hashes))], [found.hashes]
-        # gaps of any kind look alike
-        values = found.total[1:] - found.total[:-1]
-        total = np.concatenate([[U(0)], np.cumsum(np.where(gap == 1, powers(_BASE, n), values))])
-        for size in SIZES:
-            at = np.arange(max(0, n - size + 1))
-            at = at[gaps[at + size - 1] - gaps[at + 1] == 0]
-            owners.append(starts[at + 1] - 1)
-            grams.append(mix((total[at + size] - total[at]) * back[at] + U(size)))
-        self.owner = np.concatenate(owners)
-        self.grams = (np.concatenate(grams) & U(BUCKETS - 1)).astype(np.int64)
+        self.words = Words(texts, kinds=ONLY_WORDS)
+        own = np.arange(len(self.words.hashes)), (self.words.hashes & U(BUCKETS - 1)).astype(np.int32)
+        owners, made = zip(own, *grams(self.words.raw), strict=True)
+        self.owner, self.grams = np.concatenate(owners), np.concatenate(made)
 
-    def word_scores(self, table: np.ndarray) -> np.ndarray:
-        n = len(self.words.hashes)
-        return np.bincount(self.owner, table[self.grams], n) / np.maximum(1, np.bincount(self.owner, minlength=n))
+
+def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
+    """The mean over each word's buckets of their numbers in ``table``."""
+    sums = table[(words.hashes & U(BUCKETS - 1)).astype(np.int32)].astype(np.float64)
+    counts = np.ones(len(sums), np.int32)
+    for owner, buckets in grams(words.raw):
+        if len(owner):
+            first = int(owner[0])
+            part = np.bincount(owner - first, table[buckets])
+            sums[first : first + len(part)] += part
+            counts[first : first + len(part)] += np.bincount(owner - first).astype(np.int32)
+    return sums / counts
 
 
 def window_scores(words: np.ndarray) -> np.ndarray:
@@ -92,15 +126,34 @@ class Model:
     def __init__(self, table: np.ndarray, bias: float) -> None:
         self.table, self.bias = table, bias
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        raw = [fold(t) for t in texts]
-        out = np.zeros(len(raw))
-        for a, b in chunks(raw):
-            bags = Bags(raw[a:b])
-            words, first = bags.word_scores(self.table), bags.words.first
-            for i in range(b - a):
-                out[a + i] = window_scores(words[first[i] : first[i + 1]]).max()
-        return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        """One score per text. Long texts are gone over in pieces, each with the last words of the one before."""
+        out: list[float] = []
+        short: list[bytes] = []
+
+        def flush() -> None:
+            for a, b in chunks(short, SLICE_BYTES):
+                words = Words(short[a:b], kinds=ONLY_WORDS)
+                found, first = word_scores(words, self.table), words.first
+                out.extend(window_scores(found[first[i] : first[i + 1]]).max() for i in range(b - a))
+            short.clear()
+
+        for text in texts:
+            if len(text or "") <= SLICE_BYTES:
+                short.append(fold(text))
+                if len(short) >= 512:
+                    flush()
+                continue
+            flush()
+            best, tail = -np.inf, np.zeros(0)
+            for piece in folded(text):
+                tail = np.concatenate([tail, word_scores(Words([piece], kinds=ONLY_WORDS), self.table)])
+                if len(tail) >= WINDOW:
+                    best = max(best, window_scores(tail).max())
+                    tail = tail[len(tail) - WINDOW + 1 :]
+            out.append(best if best > -np.inf else window_scores(tail).max())
+        flush()
+        return 1 / (1 + np.exp(-np.clip(np.array(out) + self.bias, -30, 30)))
 
 
 def misspell(text: bytes, rng: random.Random, share: float) -> bytes:
@@ -114,6 +167,14 @@ def misspell(text: bytes, rng: random.Random, share: float) -> bytes:
     return " ".join(words).encode()
 
 
+def _summed(keys: np.ndarray, rows: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and for each the sum of its rows; ``rows[number[i]]`` belongs to the i-th key."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    return ordered[starts], np.add.reduceat(rows[order if number is None else number[order]], starts, axis=0)
+
+
 class _Trainer:
     """Distinct words with their buckets, the texts as numbers of words, and the parameters."""
 
@@ -121,7 +182,7 @@ class _Trainer:
         self.rng = np.random.default_rng(seed)
         seen, counts, grams, text_words, lengths = np.zeros(0, U), [], [], [], []
         order: list[np.ndarray] = []
-        for a, b in chunks(texts, 1 << 19):
+        for a, b in chunks(texts, SLICE_BYTES):
             bags = Bags(texts[a:b])
             hashes = bags.words.hashes
             text_words.append(hashes)
@@ -138,7 +199,8 @@ class _Trainer:
             seen = np.union1d(seen, known)
         numbers = np.concatenate(order)
         by_hash = np.argsort(numbers)
-        self.word = by_hash[np.searchsorted(numbers[by_hash], np.concatenate(text_words))].astype(np.int32)
+        numbers = numbers[by_hash]
+        self.word = np.concatenate([by_hash[np.searchsorted(numbers, h)].astype(np.int32) for h in text_words])
         self.count = np.concatenate(counts)
         self.start = np.concatenate([[0], np.cumsum(self.count)])
         self.grams = np.concatenate(grams)
@@ -149,8 +211,8 @@ class _Trainer:
         self.table_seen = np.full((BUCKETS, DIMENSIONS), 1e-6, np.float32)
         self.top_seen, self.bias_seen = np.full((DIMENSIONS, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
 
-    def step(self, spans: list[tuple[int, int]], labels: np.ndarray, rate: float) -> None:
-        """One Adagrad step on spans of words."""
+    def step(self, spans: list[tuple[int, int]], labels: np.ndarray, rate: float, weight: float) -> None:
+        """One Adagrad step on spans of words; errors on toxic ones count ``weight`` times."""
         sizes = np.array([b - a for a, b in spans])
         words = np.concatenate([self.word[a:b] for a, b in spans])
         known, which = np.unique(words, return_inverse=True)
@@ -165,13 +227,10 @@ class _Trainer:
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(labels)), labels] -= 1
-        p /= len(labels)
+        p *= np.where(labels == 1, weight, 1.0)[:, None] / len(labels)
         d_top, d_bias = spans_vectors.T @ p, p.sum(0)
-        d_word = np.zeros_like(word_vectors)
-        np.add.at(d_word, which, np.repeat(p @ self.top.T / sizes[:, None], sizes, axis=0).astype(d_word.dtype))
-        hit, where = np.unique(grams, return_inverse=True)
-        d_table = np.zeros((len(hit), DIMENSIONS), np.float32)
-        np.add.at(d_table, where, np.repeat(d_word / count[:, None], count, axis=0).astype(np.float32))
+        _, d_word = _summed(which, np.repeat(p @ self.top.T / sizes[:, None], sizes, axis=0))
+        hit, d_table = _summed(grams, (d_word / count[:, None]).astype(np.float32), np.repeat(np.arange(len(known)), count))
         self.table_seen[hit] += d_table**2
         self.table[hit] -= rate * d_table / np.sqrt(self.table_seen[hit])
         for value, seen, d in ((self.top, self.top_seen, d_top), (self.bias, self.bias_seen, d_bias)):
@@ -197,11 +256,15 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 16, rate: float = 0.1, se
     t = _Trainer(texts, seed)
     spans = [(t.first[i], t.first[i + 1], k) for i, k in enumerate(labels) if t.first[i + 1] > t.first[i]]
 
+    toxic = sum(k for *_, k in spans)
+    # each round has one window of a toxic text and three of another; half of the difference in numbers, in log terms, is made up for
+    weight = (3 * (len(spans) - toxic) / max(1, toxic)) ** 0.5
+
     def pass_over(chosen: list[tuple[int, int, int]], size: int) -> None:
         rng.shuffle(chosen)
         for i in range(0, len(chosen), size):
             part = chosen[i : i + size]
-            t.step([(a, b) for a, b, _ in part], np.array([k for *_, k in part]), rate)
+            t.step([(a, b) for a, b, _ in part], np.array([k for *_, k in part]), rate, weight)
 
     # small samples are gone over more often
     for _ in range(max(1, min(10, 3000 // len(spans)))):
@@ -220,7 +283,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, toxicity) of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 1):
             made = model.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], names=["doc_id", "toxicity"])
 
@@ -232,7 +295,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     column = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
+        for batch in rows_by_bytes(batches, column):
             yield batch.filter(pa.array(model.scores(batch.column(column).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

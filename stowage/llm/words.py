@@ -1,19 +1,31 @@
 """Words, word n-grams and sets of them as 64-bit hashes, many texts at a time in numpy.
 
-The texts of a batch lie in one byte buffer. A running sum of byte values
-times powers of an odd base, modulo 2**64, gives each word's hash by one
-subtraction, so no Python code runs per word.
+The texts of a batch lie in one byte buffer, which is gone over in slices of
+``SLICE_BYTES``. A running sum of byte values times powers of an odd base,
+modulo 2**64, gives each word's sum by one subtraction, so no Python code runs
+per word. Sums of the parts of a word that a slice's end cuts are put together,
+so memory beside the texts is a few bytes per word, however long a text is.
+Such sums have built-in collisions between long words; words of more than
+``LONG_WORD`` bytes are hashed by BLAKE2 instead.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 SPACES = b" \t\n\v\f\r"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
+LONG_WORD = 256
+#: Text that is turned into Python objects at once, unless one text is longer.
+BATCH_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,9 +44,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
-_LOWER = _VALUES.copy()
-_LOWER[65:91] = _VALUES[97:123]
+UP, DOWN = powers(_BASE, SLICE_BYTES), powers(_INVERSE, SLICE_BYTES)
+VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+_LOWER = VALUES.copy()
+_LOWER[65:91] = VALUES[97:123]
 #: Kinds of bytes: 0 parts tokens, and a token is a run of one other kind.
 BY_SPACES = np.ones(256, np.int8)
 BY_SPACES[list(SPACES)] = 0
@@ -43,6 +56,20 @@ BY_MARKS[[i for i in range(128) if BY_SPACES[i] and not chr(i).isalnum()]] = 2
 ONLY_WORDS = BY_MARKS % 2
 
 
+def rows_by_bytes(batches: Iterable[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut into runs of rows with about ``limit`` bytes in a string or binary column; a longer value stands alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, int(ends[stop - 1])
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
     """Slices of ``texts`` of about ``limit`` bytes each; a longer text stands alone, whole."""
     start = size = 0
@@ -56,24 +83,47 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
 
 
 class Words:
-    """The words of some texts: ``hashes``, their byte ranges in ``buffer``, and per text the range ``first[i]:first[i+1]``."""
+    """The words of some texts: ``hashes``, and per text the range ``first[i]:first[i+1]``. ``raw`` holds the texts parted by spaces."""
 
     def __init__(self, texts: list[bytes], lower: bool = True, kinds: np.ndarray = BY_SPACES) -> None:
-        raw = b" " + b" ".join(texts) + b" "
-        self.buffer = np.frombuffer(raw, np.uint8)
-        kind = kinds[self.buffer]
-        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-        self.starts, self.ends = change[kind[change] > 0], change[kind[change - 1] > 0]
-        n = len(self.buffer)
-        value = (_LOWER if lower else _VALUES)[self.buffer]
-        total = np.zeros(n + 1, U)
-        np.cumsum(value * powers(_BASE, n), out=total[1:])
-        self.total = total
-        back = powers(_INVERSE, n)
-        self.hashes = mix((total[self.ends] - total[self.starts]) * back[self.starts] + (self.ends - self.starts).astype(U))
-        lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        self.offsets = np.concatenate([[1], 1 + np.cumsum(lengths)])  # where each text begins
-        self.first = np.searchsorted(self.starts, self.offsets)
+        self.raw = b" ".join([b"", *texts, b""]) if texts else b" "
+        offsets = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)]).astype(np.int64)
+        self.first = np.zeros(len(offsets), np.int64)
+        values = _LOWER if lower else VALUES
+        made, n_words, reached = [], 0, 0
+        held = None  # the part of a word before the slice: where it begins, its sum, its kind
+        for base in range(0, len(self.raw), SLICE_BYTES):
+            part = np.frombuffer(self.raw, np.uint8, min(SLICE_BYTES, len(self.raw) - base), base)
+            n = len(part)
+            kind = kinds[part]
+            bounds = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [n]])
+            runs = np.flatnonzero(kind[bounds[:-1]] > 0)
+            starts, ends = bounds[runs], bounds[runs + 1]
+            total = np.zeros(n + 1, U)
+            np.cumsum(values[part] * UP[:n], out=total[1:])
+            sums = (total[ends] - total[starts]) * DOWN[starts]
+            begins = starts + base
+            if held is not None:
+                at, value, was = held
+                if kind[0] == was:
+                    begins[0] = at
+                    sums[:1] = value + sums[:1] * U(pow(_BASE, base - at, 1 << 64))
+                else:
+                    begins, sums, ends = np.insert(begins, 0, at), np.concatenate([value, sums]), np.insert(ends, 0, 0)
+                held = None
+            if kind[-1] > 0:
+                held = int(begins[-1]), sums[-1:].copy(), kind[-1]
+                begins, sums, ends = begins[:-1], sums[:-1], ends[:-1]
+            lengths = ends + base - begins
+            hashes = mix(sums + lengths.astype(U))
+            for i in np.flatnonzero(lengths > LONG_WORD):
+                hashes[i] = _long_hash(self.raw[begins[i] : begins[i] + lengths[i]], lower)
+            made.append(hashes)
+            upto = int(np.searchsorted(offsets, base + n, "right"))
+            self.first[reached:upto] = n_words + np.searchsorted(begins, offsets[reached:upto])
+            n_words, reached = n_words + len(hashes), upto
+        self.first[reached:] = n_words
+        self.hashes = np.concatenate(made)
 
     def ngrams(self, k: int) -> np.ndarray:
         """A hash for the k words from each word on; the caller leaves out those that pass a text's end."""
@@ -86,6 +136,14 @@ class Words:
         return mix(out)
 
 
+_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def _long_hash(word: bytes, lower: bool) -> np.uint64:
+    made = hashlib.blake2b(word.translate(_TO_LOWER) if lower else word, digest_size=8).digest()
+    return U(int.from_bytes(made, "little"))
+
+
 def sequence_hash(words: np.ndarray) -> np.uint64:
     """The hash of a text's whole word sequence, as ``ngrams`` gives it for that length."""
     steps = np.array([pow(_BASE, 2 * j + 1, 1 << 64) for j in range(len(words))], U)

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -69,3 +71,30 @@ def test_sample_is_learned_from_the_right_rows(spark):
     assert all(zlib.crc32(t) % 3 != 1 and k == int(t) % 2 for t, k in got)
     out = spark.range(60).select("id", labelled.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in out)
+
+
+def test_long_texts_score_in_pieces_as_whole():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), 0.5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 12))) for _ in range(60_000)]
+    long = [" ".join(words), "-".join(words), "é" * 300_000 + " x", "Ab " * 100_000]
+    for text in long:
+        bags = toxicity.Bags([toxicity.fold(text)])
+        sums = np.bincount(bags.owner, model.table[bags.grams]) / np.bincount(bags.owner)
+        want = 1 / (1 + np.exp(-(toxicity.window_scores(sums).max() + model.bias)))
+        assert abs(model.scores([None, text, "x"])[1] - want) < 1e-6
+
+
+def test_memory_does_not_grow_with_a_text():
+    code = """
+import resource, numpy as np
+from stowage.llm import toxicity
+model = toxicity.Model(np.ones(toxicity.BUCKETS, np.float32), 0.0)
+model.scores(["warm up"])
+text = "lorem ipsum dolor sit amet idiot " * (2 << 20)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert len(text) > 64 << 20 and len(model.scores([text])) == 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(done.stdout) < 200
