@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import logging
 import os
-import shutil
 import sys
 from collections.abc import Iterator
 
@@ -31,7 +30,8 @@ HELP = """usage: ARCHIVE [options and paths]
 SHORT = {"A": "append", "R": "remove", "X": "extract", "L": "list", "r": "recurse", "C": "compression", "l": "log-level", "D": "dir", "h": "help"}
 FLAGS = {"append", "remove", "extract", "list", "recurse", "no-recurse", "help"}
 WITH_VALUE = {"compression", "log-level", "dir"}
-LOG_LEVELS = {"off": logging.CRITICAL + 10, "critical": logging.CRITICAL, "error": logging.ERROR, "warn": logging.WARNING, "info": logging.INFO, "debug": logging.DEBUG, "trace": 5}
+#: From the most to the least detailed; their digits count from 0, and a letter is a name's first.
+LOG_LEVELS = {"trace": 5, "debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING, "error": logging.ERROR, "critical": logging.CRITICAL, "off": logging.CRITICAL + 10}
 
 
 class UsageError(ValueError):
@@ -167,7 +167,7 @@ class Session:
         """Writes what is pending; an archive without entries goes."""
         self.flush()
         if self.archive is not None and self.archive.entries().isEmpty():
-            shutil.rmtree(self.archive.path, ignore_errors=True)
+            self.archive.delete()
 
 
 def main(argv: list[str] | None = None) -> int:

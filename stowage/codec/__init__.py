@@ -11,7 +11,7 @@ from stowage.codec import deflate, huffman
 from stowage.codec.bits import CodecError
 from stowage.codec.levels import DEFLATE, HUFFMAN, METHODS, NONE, block_size, check_level
 
-__all__ = ["CodecError", "DEFLATE", "HUFFMAN", "METHODS", "NONE", "block_size", "decode_content", "encode_block", "encode_content"]
+__all__ = ["CodecError", "DEFLATE", "HUFFMAN", "METHODS", "NONE", "block_size", "check_level", "decode_content", "encode_block", "encode_content"]
 
 
 def encode_block(raw: bytes, method: int, level: int) -> bytes:

@@ -27,27 +27,36 @@ def encode(blocks: DataFrame, method: int, level: int) -> DataFrame:
     return blocks.withColumn("_made", made).withColumn("encoded", F.col("_made.data")).withColumn("error", F.col("_made.error")).drop("_made")
 
 
-def reassemble(blocks: DataFrame, key: str, data: str) -> DataFrame:
-    """(key, payload): the blocks of each key joined in the order of ``block_no``."""
+def reassemble(blocks: DataFrame, key: str, data: str, *others: str) -> DataFrame:
+    """(key, *others, payload): the blocks of each key joined in the order of ``block_no``."""
     ordered = F.array_sort(F.collect_list(F.struct("block_no", F.col(data).alias("data"))))
-    joined = F.aggregate(ordered, F.lit(b""), lambda x, y: F.concat(x, y["data"]))
-    return blocks.groupBy(key).agg(joined.alias("payload"))
+    # as hexadecimal digits, since joining binary values one by one copies what is joined already
+    joined = F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["data"])), ""))
+    return blocks.groupBy(key).agg(*(F.first(c).alias(c) for c in others), joined.alias("payload"))
 
 
-def encode_contents(df: DataFrame, key: str, content: Column | str, method: int, level: int) -> DataFrame:
-    """(key, payload, error): contents encoded block by block in parallel.
+def encode_rows(df: DataFrame, key: str, content: Column | str, method: int, level: int) -> DataFrame:
+    """``df`` with ``payload`` and ``error``: contents encoded block by block in parallel. Null contents stay null.
 
-    Only contents of several blocks are shuffled to be put together.
+    Contents of one block are encoded where they are; only longer ones are
+    shuffled to be put together, by ``key``, which must be unique.
     """
     size = codec.block_size(method, level)
-    rows = df.select(key, col(content).cast("binary").alias("content"))
-    whole = F.octet_length("content") <= size
-    made = udfs.encode_content(F.col("content"), F.lit(method), F.lit(level))
-    short = rows.where(whole).withColumn("_made", made).select(key, F.col("_made.data").alias("payload"), F.col("_made.error").alias("error"))
-    blocks = encode(split(rows.where(~whole), "content", size).drop("content"), method, level)
+    rows = df.withColumn("_content", col(content).cast("binary"))
+    whole = F.coalesce(F.octet_length("_content") <= size, F.lit(True))
+    short = rows.where(whole).withColumn("_made", udfs.encode_block("_content", F.lit(method), F.lit(level)))
+    short = short.withColumn("payload", F.col("_made.data")).withColumn("error", F.col("_made.error")).drop("_made", "_content")
+    blocks = encode(split(rows.where(~whole), "_content", size).drop("_content"), method, level)
     # blocks are cut to size and levels are checked, so that none can fail
-    long = reassemble(blocks, key, "encoded").withColumn("error", F.lit(None).cast("string"))
-    return short.unionByName(long)
+    others = [c for c in df.columns if c != key]
+    long = reassemble(blocks, key, "encoded", *others).withColumn("error", F.lit(None).cast("string"))
+    return short.unionByName(long.select(*df.columns, "payload", "error"))
+
+
+def encode_contents(df: DataFrame, key: str, content: Column | str, method: int, level: int) -> DataFrame:
+    """(key, payload, error): contents encoded block by block in parallel."""
+    rows = df.select(key, col(content).cast("binary").alias("_whole"))
+    return encode_rows(rows, key, "_whole", method, level).drop("_whole")
 
 
 def decode_contents(df: DataFrame, payload: str = "payload", method: Column | str = "method", level: Column | str = "level") -> DataFrame:

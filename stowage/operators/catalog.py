@@ -14,10 +14,8 @@ from pyspark.sql.window import Window
 from stowage import schema
 from stowage.functions import columns as c
 
-#: Orders of one bucket are summed in one window; bucket totals are summed in another.
-BUCKET = 1 << 16
-#: Orders of appended entries lie behind all orders of an archive.
-APPENDED = 1 << 48
+#: A window of running sums sees entries whose orders differ in these many low bits at most; then buckets of buckets follow.
+BITS = 21
 
 
 def catalog(df: DataFrame, ord_: Column | str, path: Column, content: Column, entry_type: int = schema.FILE, permissions: int = 0o644, method: int = 0, level: int = 0) -> DataFrame:
@@ -38,18 +36,26 @@ def catalog(df: DataFrame, ord_: Column | str, path: Column, content: Column, en
 def positions(entries: DataFrame, archive: tuple[str, ...] = ()) -> DataFrame:
     """``entries`` with ``pos``: the sum of the full sizes before each.
 
-    Sums run inside buckets of orders; what lies before a bucket is a sum over
-    one row per bucket. So no task sees more than a bucket of entries.
+    Sums run inside buckets of orders that share all but their low bits, on top
+    of sums over buckets, which are summed in the same way. So no task sees more
+    than two million entries or buckets, however orders lie.
     """
-    bucket = F.floor(F.col("ord") / BUCKET).alias("_bucket")
-    sized = entries.withColumn("_full", c.full_size("path", "content_size")).withColumn("_bucket", bucket)
-    by = [*archive, "_bucket"]
-    totals = sized.groupBy(*by).agg(F.sum("_full").alias("_sum"))
-    before = Window.partitionBy(*archive).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_own", F.coalesce(F.sum("_full").over(inside), F.lit(0)))
-    return placed.join(totals, by).withColumn("pos", (F.col("_base") + F.col("_own")).cast("long")).drop("_base", "_own", "_full", "_bucket")
+    sized = entries.withColumn("_full", c.full_size("path", "content_size")).withColumn("_key", F.col("ord"))
+    return _summed(sized, archive, 64 - BITS).withColumn("pos", F.col("_before").cast("long")).drop("_before", "_full", "_key")
+
+
+def _summed(rows: DataFrame, archive: tuple[str, ...], left: int) -> DataFrame:
+    """``rows`` with ``_before``: the sum of ``_full`` over those with a smaller ``_key``, which has ``left`` bits beyond the low ones."""
+    if left <= 0:
+        window = Window.partitionBy(*archive).orderBy("_key")
+        return rows.withColumn("_before", F.coalesce(F.sum("_full").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    by = [*archive, "_up"]
+    placed = rows.withColumn("_up", F.shiftright("_key", BITS))
+    window = Window.partitionBy(*by).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_own", F.coalesce(F.sum("_full").over(window), F.lit(0)))
+    totals = rows.withColumn("_up", F.shiftright("_key", BITS)).groupBy(*by).agg(F.sum("_full").alias("_full")).withColumnRenamed("_up", "_key")
+    before = _summed(totals, archive, left - BITS).select(*archive, F.col("_key").alias("_up"), F.col("_before").alias("_base"))
+    return placed.join(before, by).withColumn("_before", F.col("_base") + F.col("_own")).drop("_base", "_own", "_up")
 
 
 def listing(entries: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ def listing(entries: DataFrame) -> DataFrame:
     return entries.select("ord", c.mode_string("entry_type", "permissions").alias("mode"), "path", c.full_size("path", "content_size").alias("full_size"))
 
 
-def find(entries: DataFrame, path: str) -> DataFrame:
+def find(entries: DataFrame, path: str | Column) -> DataFrame:
     """The first entry of a path."""
     return entries.where(F.col("path") == path).orderBy("ord").limit(1)
 
@@ -67,25 +73,42 @@ def within(entries: DataFrame, directory: str) -> DataFrame:
 
 
 def append(entries: DataFrame, new: DataFrame) -> DataFrame:
-    """All of ``entries``, then all of ``new`` in their order; equal paths are kept."""
-    return entries.unionByName(new.withColumn("ord", F.col("ord") + APPENDED), allowMissingColumns=True)
+    """All of ``entries``, then all of ``new`` in their order; equal paths are kept.
 
+    The new entries' orders follow the largest one there, which a scalar subquery finds.
+    """
+    last, first = entries.agg(F.max("ord").alias("last")).scalar(), new.agg(F.min("ord").alias("first")).scalar()
+    shift = F.coalesce(last, F.lit(-1)) + 1 - F.coalesce(first, F.lit(0))
+    return entries.unionByName(new.withColumn("ord", F.col("ord") + shift), allowMissingColumns=True)
 
-def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two archives one after the other are an archive."""
-    return append(first, second)
 
+def concatenate(*archives: DataFrame) -> DataFrame:
+    """Archives one after the other are an archive."""
+    out = archives[0]
+    for further in archives[1:]:
+        out = append(out, further)
+    return out
 
-def remove_matches(entries: DataFrame, pending: DataFrame) -> DataFrame:
-    """``entries`` without the first ones of each path, as many as ``pending`` has rows of it.
+
+def matches(entries: DataFrame, pending: DataFrame) -> DataFrame:
+    """Of ``entries`` the first ones of each path, as many as ``pending`` has rows of it: those that an update replaces.
 
     Rows of ``pending`` with an ``error`` were never read and replace nothing.
     """
+    return _ranked(entries, pending).where(F.col("_rank") <= F.coalesce("_count", F.lit(0))).drop("_rank", "_count")
+
+
+def remove_matches(entries: DataFrame, pending: DataFrame) -> DataFrame:
+    """``entries`` without ``matches``."""
+    return _ranked(entries, pending).where(F.col("_rank") > F.coalesce("_count", F.lit(0))).drop("_rank", "_count")
+
+
+def _ranked(entries: DataFrame, pending: DataFrame) -> DataFrame:
     if "error" in pending.columns:
         pending = pending.where(F.col("error").isNull())
     count = pending.groupBy("path").agg(F.count(F.lit(1)).alias("_count"))
     ranked = entries.withColumn("_rank", F.row_number().over(Window.partitionBy("path").orderBy("ord")))
-    return ranked.join(count, "path", "left").where(F.col("_rank") > F.coalesce("_count", F.lit(0))).drop("_rank", "_count")
+    return ranked.join(count, "path", "left")
 
 
 def update(entries: DataFrame, new: DataFrame) -> DataFrame:
@@ -99,7 +122,7 @@ def remove(entries: DataFrame, keys: DataFrame, on: str = "pos") -> DataFrame:
     return entries.join(keys.select(on).distinct(), on, "left_anti")
 
 
-def remove_path(entries: DataFrame, path: str) -> DataFrame:
+def remove_path(entries: DataFrame, path: str | Column) -> DataFrame:
     """``entries`` without the first entry of a path."""
     return entries.join(find(entries, path).select("ord"), "ord", "left_anti")
 

@@ -55,9 +55,14 @@ def doubled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pending(spark: SparkSession, d: str) -> DataFrame:
-    """Appends: every third document once, every ninth once more."""
+    """Appends: every document once, and those labelled as poor once more."""
     own = docs(spark, d)
-    return own.where("ord % 3 = 0").unionByName(own.where("ord % 9 = 0").withColumn("ord", F.col("ord") + 1_000_000_000))
+    return catalog.append(own, own.join(labelled(spark, d, "quality = 0"), "ord", "left_semi"))
+
+
+def labelled(spark: SparkSession, d: str, which: str) -> DataFrame:
+    """``ord`` of the documents whose label is of a kind."""
+    return table(spark, d, "labels").where(which).select(F.col("doc_id").alias("ord")).distinct()
 
 
 DOCS = "docs as (select doc_id as ord, 'docs/' || source || '/' || lang || '/' || doc_id || '.txt' as path, octet_length(encode(text))::bigint as content_size from documents)"
@@ -65,9 +70,12 @@ PAGES = "pages_a as (select page_id as ord, 'pages/' || page_id || '.html' as pa
 TURNS = "turns as (select conv_id * 1000 + turn as ord, 'chat/' || conv_id || '/' || turn || '.' || role as path, octet_length(encode(text))::bigint as content_size from conversations)"
 FULL = "18 + octet_length(encode(path)) + content_size"
 POS = f"coalesce(sum({FULL}) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint"
-FAR = catalog.APPENDED
+#: Behind all orders of a table, in the SQL.
+FAR = 1 << 48
 DOUBLED = f"doubled as (select * from docs union all select ord + {FAR}, path, content_size from docs)"
-PENDING = "pending as (select * from docs where ord % 3 = 0 union all select ord + 1000000000, path, content_size from docs where ord % 9 = 0)"
+POOR = "ord in (select doc_id from labels where quality = 0)"
+TOXIC = "ord in (select doc_id from labels where toxic = 1)"
+PENDING = f"pending as (select * from docs union all select ord + {FAR // 2}, path, content_size from docs where {POOR})"
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -95,7 +103,7 @@ def archive_positions(spark, d):
 
 @query(f"with {DOCS}, {DOUBLED} select ord, path, content_size from doubled where path = (select path from docs order by ord desc limit 1) order by ord limit 1")
 def archive_find(spark, d):
-    last = docs(spark, d).agg(F.max_by("path", "ord")).first()[0]
+    last = docs(spark, d).agg(F.max_by("path", "ord")).scalar()
     return catalog.find(doubled(spark, d), last).select("ord", "path", "content_size")
 
 
@@ -154,13 +162,13 @@ def archive_update(spark, d):
 
 @query(f"with {DOCS}, {DOUBLED}, existing as (select * from doubled), {PENDING}, {_UPDATE.replace(f'ord + {FAR}', f'ord + {2 * FAR}')} select path, content_size, {POS} as pos from u")
 def archive_update_duplicate_paths(spark, d):
-    later = pending(spark, d).withColumn("ord", F.col("ord") + FAR)
-    return shown(catalog.positions(catalog.update(doubled(spark, d), later)))
+    return shown(catalog.positions(catalog.update(doubled(spark, d), pending(spark, d))))
 
 
-@query(f"with {DOCS}, existing as (select * from docs), pending as (select * from docs where ord % 3 = 0 and ord % 2 = 0), {_UPDATE} select path, content_size, {POS} as pos from u")
+@query(f"with {DOCS}, existing as (select * from docs), pending as (select * from docs where not {POOR}), {_UPDATE} select path, content_size, {POS} as pos from u")
 def archive_update_failed_inputs(spark, d):
-    new = docs(spark, d).where("ord % 3 = 0").withColumn("error", F.when(F.col("ord") % 2 == 1, "unreadable"))
+    poor = labelled(spark, d, "quality = 0").withColumn("error", F.lit("unreadable"))
+    new = docs(spark, d).join(poor, "ord", "left")
     return shown(catalog.positions(catalog.update(docs(spark, d), new)))
 
 
@@ -180,21 +188,27 @@ def archive_remove_recursive(spark, d):
 
 @query(f"with {DOCS}, {DOUBLED}, gone as (select min(ord) as ord from doubled where path = (select path from docs order by ord limit 1)) select path, count(*)::bigint as entries from doubled where ord not in (select ord from gone) group by path")
 def archive_remove_first_match(spark, d):
-    first = docs(spark, d).agg(F.min_by("path", "ord")).first()[0]
+    first = docs(spark, d).agg(F.min_by("path", "ord")).scalar()
     return catalog.remove_path(doubled(spark, d), first).groupBy("path").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query(f"with {DOCS}, {TURNS}, k as (select * from docs where ord % 5 <> 0 union all select ord + {FAR}, path, content_size from turns) select path, content_size, {POS} as pos from k")
+@query(f"with {DOCS}, {TURNS}, k as (select * from docs where not {TOXIC} union all select ord + {FAR}, path, content_size from turns) select path, content_size, {POS} as pos from k")
 def archive_remove_then_append(spark, d):
     own = docs(spark, d)
-    kept = catalog.remove(own, own.where("ord % 5 = 0"), on="ord")
+    kept = catalog.remove(own, labelled(spark, d, "toxic = 1"), on="ord")
     return shown(catalog.positions(catalog.append(kept, turns(spark, d))))
 
 
 @query(f"with {DOCS}, {PAGES}, {TURNS}, a as (select * from docs union all select ord + {FAR}, path, content_size from pages_a union all select ord + {2 * FAR}, path, content_size from turns) select path, content_size, {POS} as pos from a")
 def archive_concat(spark, d):
-    later = turns(spark, d).withColumn("ord", F.col("ord") + FAR)
-    return shown(catalog.positions(catalog.concatenate(catalog.concatenate(docs(spark, d), pages(spark, d)), later)))
+    return shown(catalog.positions(catalog.concatenate(docs(spark, d), pages(spark, d), turns(spark, d))))
+
+
+@query(f"with {DOCS}, {PAGES}, {TURNS}, a as (select * from turns union all select ord + {FAR}, path, content_size from docs union all select ord + {2 * FAR}, path, content_size from docs union all select ord + {3 * FAR}, path, content_size from pages_a) select path, content_size, {POS} as pos from a")
+def archive_append_twice(spark, d):
+    """Three appends one after the other keep their order."""
+    once = catalog.append(turns(spark, d), docs(spark, d))
+    return shown(catalog.positions(catalog.append(catalog.append(once, docs(spark, d)), pages(spark, d))))
 
 
 @query("with r as (select 'docs/' || source || '/' || lang as path, doc_id as req from documents) select path, min(req) as req from r group by path")
@@ -203,9 +217,9 @@ def archive_dedup_requests(spark, d):
     return catalog.first_requests(asked).select("path", "req")
 
 
-@query(f"with {DOCS}, a(path) as (select path from docs where ord % 7 = 0 union all values ('nowhere'), ('docs')) select path, case when path not in (select path from docs) then 'non-existent path' end as error from a")
+@query(f"with {DOCS}, a(path) as (select path from docs union all values ('nowhere'), ('docs')) select path, case when path not in (select path from docs) then 'non-existent path' end as error from a")
 def archive_remove_status(spark, d):
-    asked = docs(spark, d).where("ord % 7 = 0").select("path").unionByName(spark.createDataFrame([("nowhere",), ("docs",)], "path string"))
+    asked = docs(spark, d).select("path").unionByName(spark.createDataFrame([("nowhere",), ("docs",)], "path string"))
     return catalog.remove_status(docs(spark, d), asked)
 
 
@@ -217,14 +231,12 @@ def archive_all_succeeded(spark, d):
 # ---------------------------------------------------------------- bytes of archives
 
 
-def written(spark: SparkSession, entries: DataFrame, scratch: Scratch) -> DataFrame:
+def written(spark: SparkSession, entries: DataFrame, scratch: Scratch, payload: bool = True) -> DataFrame:
     """``entries`` with ``payload`` written as archives and scanned again."""
-    from stowage.sources.archive import local
-
     source.register(spark)
-    path = local(scratch.path("archive"))
+    path = scratch.path("archive")
     entries.select("version", "content_size", "method", "level", "entry_type", "permissions", "path", "payload").write.format("archive").mode("append").save(path)
-    return spark.read.format("archive").option("payload", "true").load(path)
+    return spark.read.format("archive").option("payload", str(payload).lower()).load(path)
 
 
 _HEADERS = f"select path, 1025::bigint as version, content_size, 1::tinyint as entry_type, 420::smallint as permissions, 0::tinyint as method, 0::tinyint as level from docs"
@@ -232,26 +244,26 @@ _HEADERS = f"select path, 1025::bigint as version, content_size, 1::tinyint as e
 
 @query(f"with {DOCS} {_HEADERS}")
 def header_roundtrip(spark, d):
-    found = written(spark, docs(spark, d).withColumn("payload", F.col("content")), Scratch(spark))
+    found = written(spark, docs(spark, d).withColumn("payload", F.col("content")), Scratch(spark), payload=False)
     return found.select("path", "version", "content_size", "entry_type", "permissions", "method", "level")
 
 
 @query("with f(archive, length, is_corrupted, is_truncated) as (values ('garbage', 9, true, false), ('garbage_behind', 37, true, false), ('truncated', 26, false, true), ('whole', 28, false, false), ('bad_method', 28, true, false)) select * replace (length::bigint as length) from f")
 def archive_corrupt_check(spark, d):
-    import os
-
     from stowage.sources import layout
+    from stowage.sources.parts import Place
 
-    top = source.local(Scratch(spark).path("odd"))
-    os.makedirs(top)
+    top = Scratch(spark).path("odd")
+    place = Place(top)
+    place.make()
     good = layout.pack(1025, 5, 0, 0, schema.FILE, 0o644, "a.txt") + b"hello"
     bad = bytearray(good)
     bad[12] = 9
     for name, data in {"garbage": b"not an ar", "garbage_behind": good + b"\xff" * 9, "truncated": good[:-2], "whole": good, "bad_method": bytes(bad)}.items():
-        with open(f"{top}/{name}", "wb") as out:
+        with place.store.open_output_stream(place.full(name)) as out:
             out.write(data)
-    files = source.lengths(spark, f"file://{top}")
-    checked = catalog.corruption(source.read_archives(spark, f"file://{top}"), files).join(files, "archive")
+    files = source.lengths(spark, top)
+    checked = catalog.corruption(source.read_archives(spark, top), files).join(files, "archive")
     return checked.withColumn("archive", F.element_at(F.split("archive", "/"), -1)).select("archive", "length", "is_corrupted", "is_truncated")
 
 
