@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.words import ONLY_WORDS, U, Words, chunks, mix, rows_by_bytes
+from stowage.llm.workers import lean
 from stowage.tables import table
 
 WIDTH = 5
@@ -186,7 +187,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
     for items in item_blocks(benchmark):
-        part = rows.mapInArrow(scanner(items), MATCHES)
+        part = rows.mapInArrow(lean(scanner(items)), MATCHES)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -203,7 +204,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(keeper(items, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(lean(keeper(items, docs.columns.index("text"))), docs.schema)
     return docs
 
 

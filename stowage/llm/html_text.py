@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.llm.words import rows_by_bytes
+from stowage.llm.workers import lean
 from stowage.tables import table
 
 WINDOW = 3
@@ -238,12 +240,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html)."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 2):
             made = [extract(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.words import ONLY_WORDS, U, Words, chunks, rows_by_bytes
+from stowage.llm.workers import lean
 from stowage.tables import table
 
 THRESHOLD = 0.8
@@ -221,7 +222,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in MATCHES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCHES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), MATCHES)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

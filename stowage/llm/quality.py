@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import labelled
 from stowage.llm.words import BY_MARKS, U, Words, chunks, mix, rows_by_bytes
+from stowage.llm.workers import lean
 from stowage.tables import table
 
 BUCKETS = 1 << 19
@@ -98,7 +99,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             made = scores(batch.column(1).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], names=["doc_id", "quality"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, quality double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, quality double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

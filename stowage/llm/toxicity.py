@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import labelled
 from stowage.llm.words import DOWN, ONLY_WORDS, SLICE_BYTES, U, UP, VALUES, Words, chunks, mix, rows_by_bytes
+from stowage.llm.workers import lean
 from stowage.tables import table
 
 BUCKETS = 1 << 18
@@ -287,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             made = model.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], names=["doc_id", "toxicity"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, toxicity double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, toxicity double")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -298,7 +299,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch in rows_by_bytes(batches, column):
             yield batch.filter(pa.array(model.scores(batch.column(column).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

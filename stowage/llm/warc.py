@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.llm.workers import lean
 from stowage.tables import Scratch, table
 
 VERSION = b"WARC/1.1\r\n"
@@ -199,7 +200,7 @@ def write(planned: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
         if held:
             yield out()
 
-    rows = planned.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "value string")
+    rows = planned.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(run), "value string")
     rows.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
@@ -240,7 +241,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("path", "content").mapInArrow(run, RECORDS)
+    return files.select("path", "content").mapInArrow(lean(run), RECORDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 U = np.uint64
 SPACES = b" \t\n\v\f\r"
