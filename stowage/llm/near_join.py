@@ -16,8 +16,15 @@ parity sketches, a short one while they are joined and one of about a bit per
 shingle before texts are fetched: the sketches of two sets differ in at most
 as many bits as the sets in elements, so they never drop a link. Remaining pairs are compared exactly.
 
+Sets go by 64-bit numbers; where two different ones meet in a number (a second
+number tells), they go by the second. Subset keys have 96 bits. Shingles are 64-bit
+hashes, and "exact" comparison compares these.
+
 Scale: lists are never gathered; hubs come from aggregates combined before
-shuffling, pairs from joins that can be split when skewed. Which shingles are
+shuffling, pairs from joins. Joins on sets, hubs and components deal the rows of
+a frequent key to several tasks. Only texts of sets that may link are moved:
+they are found by a broadcast of their numbers, or beyond ``BROADCAST_BYTES`` of
+these by a broadcast bitmap of fixed size before a shuffle. Which shingles are
 frequent is a bounded list (``HEAVY``) that only sets the order: results don't
 depend on it. It is made from counts over all documents, and made anew from
 the counts of the lists themselves while a list is longer than ``LONG_LIST``.
@@ -33,6 +40,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +48,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.components import connected
-from stowage.llm.words import U, mix, shingle_sets
+from stowage.llm.skew import fresh, sieve, sifted, spread_join
+from stowage.llm.words import U, mix, rows_by_bytes, shingle_sets
+from stowage.llm.workers import lean
 from stowage.tables import Scratch, table
 
 HEAVY = 1_000_000
@@ -55,10 +65,13 @@ MARK_BITS = 512
 
 
 class Rule:
-    """Sets link when 100 * intersection >= percent * union."""
+    """Sets link when 100 * intersection >= percent * union. ``bits`` of sets' first numbers are used (fewer in tests)."""
 
-    def __init__(self, width: int = 4, percent: int = 85) -> None:
+    def __init__(self, width: int = 4, percent: int = 85, bits: int = 64) -> None:
         self.width, self.percent = width, percent
+        self.mask = U((1 << bits) - 1)
+        #: First numbers that several sets have, filled in while joining.
+        self.shared: frozenset[int] = frozenset()
         n = 1
         while self.subsets(n + 1) <= SUBSET_COST * self.prefix(n + 1):
             n += 1
@@ -86,10 +99,18 @@ class Rule:
         return self.least(self.small + 1)
 
 
-def set_number(shingles: np.ndarray) -> int:
-    """A 64-bit number for a sorted set, as a signed integer."""
-    steps = mix(np.arange(1, len(shingles) + 1, dtype=U))
-    return int(mix(np.array([np.sum(mix(shingles ^ steps), dtype=U) + U(len(shingles))], U)).view(np.int64)[0])
+def set_numbers(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit numbers for each row of sorted elements."""
+    n = U(sets.shape[1])
+    steps = mix(np.arange(1, sets.shape[1] + 1, dtype=U))
+    return mix(mix(sets ^ steps).sum(1, dtype=U) + n), mix(mix(sets + mix(steps)).sum(1, dtype=U) ^ n)
+
+
+def set_number(shingles: np.ndarray, rule: Rule) -> int:
+    """The number that a set goes by, as a signed integer."""
+    first, second = set_numbers(shingles[None, :])
+    number = int((first & rule.mask).view(np.int64)[0])
+    return int(second.view(np.int64)[0]) if number in rule.shared else number
 
 
 def bits_for(n: int) -> int:
@@ -121,20 +142,32 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def facts(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, text_number, set_id, n, sketch) of each row; no set_id for an empty set."""
+    """(doc_id, text_number, text_check, set_id, set_check, n, sketch, marks) of each row; no set_id for an empty set."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            found = [(set_number(s), len(s), sketch(s), list(memoryview(sketch(s, MARK_BITS)).cast("q"))) if len(s) else (None, 0, None, None) for s in shingle_sets(_texts(batch, 3), rule.width)]
-            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "text_number", "text_check", "set_id", "n", "sketch", "marks"])
+        for batch in rows_by_bytes(batches, 3):
+            found = []
+            for s in shingle_sets(_texts(batch, 3), rule.width):
+                if not len(s):
+                    found.append((None, None, 0, None, None))
+                    continue
+                first, second = set_numbers(s[None, :])
+                found.append((int((first & rule.mask).view(np.int64)[0]), int(second.view(np.int64)[0]), len(s), sketch(s), list(memoryview(sketch(s, MARK_BITS)).cast("q"))))
+            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "text_number", "text_check", "set_id", "set_check", "n", "sketch", "marks"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *numbers(text), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_number long, text_check int, set_id long, n int, sketch binary, marks array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, text_number long, text_check int, set_id long, set_check long, n int, sketch binary, marks array<long>")
+
 
+def shared_numbers(known: DataFrame) -> frozenset[int]:
+    """Numbers of several different sets: about n**2 / 2**65 of n sets."""
+    ends = known.where("n > 0").groupBy("set_id").agg(F.min("set_check").alias("least"), F.max("set_check").alias("most"))
+    return frozenset(r[0] for r in ends.where("least <> most").select("set_id").toLocalIterator())
 
-def frequent(docs: DataFrame, rule: Rule, at_once: int = 4_000_000) -> DataFrame:
+
+def frequent(docs: DataFrame, rule: Rule, at_once: int = 1_000_000) -> DataFrame:
     """Shingles that some task saw in two documents or more of a stretch, with those counts summed.
 
     With T tasks this finds the shingles in more than about sqrt(8 T) documents.
@@ -149,7 +182,7 @@ def frequent(docs: DataFrame, rule: Rule, at_once: int = 4_000_000) -> DataFrame
             keep = counts >= 2
             return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["shingle", "count"])
 
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 0):
             for s in shingle_sets(_texts(batch, 0), rule.width):
                 held.append(s)
                 size += len(s)
@@ -159,7 +192,7 @@ def frequent(docs: DataFrame, rule: Rule, at_once: int = 4_000_000) -> DataFrame
         if held:
             yield out()
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, count long")
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "shingle long, count long")
     return counts.groupBy("shingle").agg(F.sum("count").alias("count")).where("count >= 8")
 
 
@@ -174,10 +207,10 @@ def entries(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 0):
             numbers, sizes, heads = [], [], []
             for s in shingle_sets(_texts(batch, 0), rule.width):
-                if len(s) < rule.listed or (number := set_number(s)) in seen:
+                if len(s) < rule.listed or (number := set_number(s, rule)) in seen:
                     continue
                 seen.add(number)
                 late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s if len(heavy) else np.zeros(len(s), bool)
@@ -193,39 +226,48 @@ def entries(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
                     names=["shingle", "set_id", "n"],
                 )
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, set_id long, n int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "shingle long, set_id long, n int")
 
 
 def subset_keys(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(key, other, set_id) of small sets: sets at one key of which not both are of one kind link."""
+    """(key, check, sizes, larger, set_id) of small sets: sets at one key of which not both are of one kind link."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         seen: set[int] = set()
-        for batch in batches:
-            rows: list[tuple[int, int, bool, int]] = []
+        names = ["key", "check", "sizes", "larger", "set_id"]
+        for batch in rows_by_bytes(batches, 0):
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for s in shingle_sets(_texts(batch, 0), rule.width):
                 n = len(s)
-                if not 0 < n <= rule.small or (number := set_number(s)) in seen:
+                if not 0 < n <= rule.small or (number := set_number(s, rule)) in seen:
                     continue
                 seen.add(number)
                 for m in rule.partners(n):
                     c = rule.overlap(n, m)
                     if m > rule.small or c > min(n, m):
                         continue
-                    for subset in itertools.combinations(s, c):
-                        rows.append((set_number(np.array(subset, U)), min(n, m) * 64 + max(n, m), n > m, number))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.int64()))], names=["key", "sizes", "larger", "set_id"]
-            )
+                    first, second = set_numbers(s[_choices(n, c)])
+                    k = len(first)
+                    made = first.view(np.int64), (second & U(0x7FFFFFFF)).astype(np.int32), np.full(k, min(n, m) * 64 + max(n, m), np.int32), np.full(k, n > m), np.full(k, number, np.int64)
+                    for column, x in zip(columns, made, strict=True):
+                        column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "key long, check int, sizes int, larger boolean, set_id long")
+
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, sizes int, larger boolean, set_id long")
+@cache
+def _choices(n: int, c: int) -> np.ndarray:
+    """Every way to choose c of n places, a row each."""
+    return np.array(list(itertools.combinations(range(n), c)))
 
 
 def small_links(docs: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) that connect all small sets which meet at a subset."""
-    keys = subset_keys(docs, rule)
-    hubs = keys.groupBy("key", "sizes").agg(F.min(F.when(~F.col("larger"), F.col("set_id"))).alias("one"), F.min(F.when(F.col("larger"), F.col("set_id"))).alias("two"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = keys.join(hubs, ["key", "sizes"])
+    keys, by = subset_keys(docs, rule), ["key", "check", "sizes"]
+    hubs = keys.groupBy(*by).agg(F.min(F.when(~F.col("larger"), F.col("set_id"))).alias("one"), F.min(F.when(F.col("larger"), F.col("set_id"))).alias("two"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = keys.join(hubs, by)
     same = F.col("sizes") % 64 == F.floor(F.col("sizes") / 64)
     hub = F.when(same, F.col("one")).when(F.col("larger"), F.col("one")).otherwise(F.col("two"))
     return met.select(F.least(hub, "set_id").alias("a"), F.greatest(hub, "set_id").alias("b")).where("a <> b").distinct()
@@ -242,8 +284,8 @@ def close_enough(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame
 
     one = sketches.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = sketches.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    joined = spread_join(pairs, one, ["a"]).join(two, "b")
+    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lean(run), "a long, b long")
 
 
 def numbers(text: Column) -> list[Column]:
@@ -254,18 +296,20 @@ def numbers(text: Column) -> list[Column]:
 def texts_of(docs: DataFrame, ids: DataFrame, sets: DataFrame) -> DataFrame:
     """(set_id, text) with one text for each set of ``ids``, stored."""
     keys = sets.join(ids, "set_id").select("set_id", "first.text_number", "first.text_check")
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text"), *numbers(text))
     if keys.count() * 64 <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
-    text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text"), *numbers(text)).join(keys, ["text_number", "text_check"])
-    return rows.groupBy("set_id").agg(F.first("text").alias("text"))
+    else:
+        rows = sifted(rows, sieve(keys, F.col("text_number")), F.col("text_number")).where("_maybe").drop("_maybe")
+    return rows.join(keys, ["text_number", "text_check"]).groupBy("set_id").agg(F.first("text").alias("text"))
 
 
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b), stored, that link by exact comparison. Many pairs should share their a."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 2):
             ones, twos = _texts(batch, 2), _texts(batch, 3)
             distinct = {t: None for t in itertools.chain(ones, twos)}
             sets = dict(zip(distinct, shingle_sets(list(distinct), rule.width), strict=True))
@@ -278,8 +322,8 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule, scrat
     ids = scratch.store(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), f"{name}-ids")
     texts = scratch.store(texts_of(docs, ids, sets), f"{name}-texts")
     one, two = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(two, "b").join(one, "a")
-    out = scratch.store(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), f"{name}-links")
+    joined = spread_join(pairs.join(two, "b").select("b", "text_b", "a"), one, ["a"])
+    out = scratch.store(joined.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-texts", f"{name}-ids")
     return out
 
@@ -296,6 +340,9 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     rule = rule or Rule()
     scratch = Scratch(docs.sparkSession)
     known = scratch.store(facts(docs, rule), "facts")
+    rule.shared = shared_numbers(known)
+    if rule.shared:
+        known = scratch.store(known.withColumn("set_id", F.when(F.col("set_id").isin(list(rule.shared)), F.col("set_check")).otherwise(F.col("set_id"))), "told")
     text = F.min(F.struct("text_number", "text_check")).alias("first")
     sets = scratch.store(known.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"), text), "sets")
 
@@ -349,27 +396,35 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
         links = scratch.store(links.unionByName(linked(rest, docs, sets, rule, scratch, "rest")), "links2")
         roots = connected(links, scratch, "roots2")
     scratch.drop("hits", "placed", "stars")
-    return known.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "text_number", "n", F.coalesce("root", "set_id").alias("component"))
+    return spread_join(known.select("doc_id", "text_number", "n", "set_id"), roots.withColumnRenamed("node", "set_id"), ["set_id"], "left").select("doc_id", "text_number", "n", F.coalesce("root", "set_id").alias("component"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clusters(table(spark, sf_dir, "documents"))
+    found = Scratch(spark).store(found, "found")
     least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    joined = found.join(least, "component", "left")
+    joined = spread_join(found, least, ["component"], "left")
     own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id. Equal rows must be gone before."""
-    found = clusters(docs, rule)
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.store(clusters(docs, rule), "found")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_number")
     first = found.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
-    gone = found.join(first, "component").where(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("text_number").alias("_text"))
-    gone = Scratch(docs.sparkSession).store(gone, "gone")
+    id_, number, mine = fresh(docs, "_id", "_text", "_mine")
+    gone = spread_join(found.where("component is not null"), first, ["component"]).where(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(id_), F.col("text_number").alias(number))
+    gone = scratch.store(gone, "gone")
+    own = F.xxhash64(F.col("text").cast("string"))
+    equal = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.col(mine).eqNullSafe(F.col(number))
+    rows = docs.withColumn(mine, own)
     if gone.count() * 64 <= BROADCAST_BYTES:  # then texts needn't move
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_text")), "left_anti")
+        return rows.join(F.broadcast(gone), equal, "left_anti").drop(mine)
+    tested = sifted(rows, sieve(gone, F.col(number)), F.col(mine))
+    kept = tested.where("not _maybe").drop("_maybe")
+    return kept.unionByName(tested.where("_maybe").drop("_maybe").join(gone, equal, "left_anti")).drop(mine)
 
 
 ORACLE_SQL = """

@@ -65,6 +65,25 @@ def test_components_against_brute_force(spark, seed, k, percent, monkeypatch):
     assert sorted(got, key=str) == brute(rows, k, percent)
 
 
+def test_sets_that_share_a_number_stay_apart(spark):
+    rows = corpus(5, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = Rule(bits=5)
+    found = near_join.clusters(docs, rule).toPandas()
+    assert rule.shared
+    least = found.groupby("component")["doc_id"].min()
+    got = [(None if i != i else int(i), int(n), None if c != c and i != i else int(i) if c != c else None if least[c] != least[c] else int(least[c])) for i, n, c in zip(found["doc_id"], found["n"], found["component"], strict=True)]
+    assert sorted(got, key=str) == brute(rows, 4, 85)
+
+
+def test_words_that_cancel_out_are_not_equal(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one.upper())]
+    found = near_join.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {r.doc_id: r.component for r in found}
+    assert of[1] != of[2] and of[1] == of[3]
+
+
 def test_bounds_hold_for_all_sizes():
     for rule in (Rule(), Rule(5, 80), Rule(5, 50)):
         for n in range(1, 60):
@@ -98,6 +117,24 @@ def test_keep_one(spark):
     assert sorted(r.lang for r in out.collect()) == ["b", "d", "e"] and out.columns == ["doc_id", "text", "lang"]
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_keep_one_keeps_columns_of_any_name(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(near_join, "BROADCAST_BYTES", limit)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(4, " ".join(base), "a", 1), (2, " ".join(base[1:]), "b", 2), (7, "w1 w2 w3 w4 w5", "c", 3), (8, None, "d", 4), (9, None, "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _Text int").withColumn("_mine", F.lit(1)).withColumn("_bits", F.lit(2))
+    out = near_join.keep_one(docs, Rule(5, 80))
+    assert out.columns == docs.columns and sorted(r["_id"] for r in out.collect()) == ["b", "c", "d", "d"]
+
+
+def test_hubs_connect(spark):
+    rows = [(0, i) for i in range(1, 3000)] + [(5000 + i, 0) for i in range(10)] + [(8000, 8000), (None, 1), (8001, None)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(rows, "a long, b long"), Scratch(spark), "h").collect()}
+    assert set(got) == {*range(3000), *range(5000, 5010), 8000} and {n for n, r in got.items() if r} == {8000}
+    assert components.connected(spark.createDataFrame([], "a long, b long"), Scratch(spark), "e").count() == 0
+
+
 def test_long_chains_connect(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in components.connected(links, Scratch(spark), "c").collect()}
