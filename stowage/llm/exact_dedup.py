@@ -10,7 +10,8 @@ a fingerprint that fails this (a true collision) are told apart by SHA-256.
 
 Scale: the texts themselves meet only in the comparison, which is a
 map-side-combined aggregate, so a group with a third of all rows sends one row
-per chunk and map task. Everything else moves rows of fixed width.
+per chunk and map task; texts of groups of one aren't compared. Everything else
+moves rows of fixed width, those of one group dealt to several tasks.
 
 Defined results: a null text counts as empty, empty texts are equal to each
 other; a null doc_id sorts last; of rows that repeat doc_id and text exactly
@@ -27,13 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.llm.skew import fresh, sieve, sifted, spread_join
+from stowage.llm.words import rows_by_bytes
+from stowage.llm.workers import lean
 from stowage.tables import Scratch, table
 
 MODULI = (2147483629, 2147483587)
 BASES = (911382323, 972663749)
 CHUNK = 4096
 COMPARE_CHUNK = 1 << 16
-#: Groups up to this many bytes are broadcast to pick the rows worth comparing; beyond it all rows are compared.
+#: Parts of a document that are put together at once.
+PART_RUN = 4096
+#: Keys up to this many bytes are broadcast to pick the rows worth comparing or moving; beyond it a bitmap of fixed size is.
 BROADCAST_BYTES = 32 << 20
 #: What a dropped row's key takes in a broadcast, at most.
 GONE_BYTES = 160
@@ -94,7 +100,7 @@ def fingerprint(df: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]):
         maker = Fingerprinter(moduli)
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 2):
             texts = [normalise(t) for t in batch.column(2).to_pylist()]
             marks = [maker.of(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -110,7 +116,7 @@ def fingerprint(df: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFrame:
             )
 
     rows = df.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, FACTS)
+    return rows.mapInArrow(lean(run), FACTS)
 
 
 def fingerprint_parts(parts: DataFrame, key: str, number: str, data: str, moduli: tuple[int, int] = MODULI) -> DataFrame:
@@ -131,16 +137,20 @@ def fingerprint_parts(parts: DataFrame, key: str, number: str, data: str, moduli
 
     kind = dict(parts.dtypes)[key]
     rows = parts.select(F.col(key).alias("key"), F.col(number).cast("long").alias("no"), F.col(data).cast("binary").alias("data"))
-    rows = rows.mapInArrow(run, f"key {kind}, no long, a long, b long, s long, t long, n long")
+    rows = rows.mapInArrow(lean(run), f"key {kind}, no long, a long, b long, s long, t long, n long")
     p, q = (F.lit(m).cast("long") for m in moduli)
 
     def fold(ordered: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-        return F.aggregate(ordered, zero, lambda x, y: F.struct(((x.a * y.s + y.a) % p).alias("a"), ((x.b * y.t + y.b) % q).alias("b")))
+        one = F.struct(*(F.lit(x).cast("long").alias(n) for n, x in zip("abst", (0, 0, 1, 1), strict=True)))
+        return F.aggregate(ordered, one, lambda x, y: F.struct(((x.a * y.s + y.a) % p).alias("a"), ((x.b * y.t + y.b) % q).alias("b"), (x.s * y.s % p).alias("s"), (x.t * y.t % q).alias("t")))
 
-    ordered = F.array_sort(F.collect_list(F.struct("no", "a", "b", "s", "t")))
-    made = rows.groupBy("key").agg(fold(ordered).alias("h"), F.sum("n").alias("n_bytes"))
-    return made.select(F.col("key").alias(key), F.col("h.a").alias("hash_a"), F.col("h.b").alias("hash_b"), "n_bytes")
+    # runs of parts first, so that no task holds all parts of a document
+    made = rows.withColumn("run", F.floor(F.col("no") / PART_RUN))
+    for by in (["key", "run"], ["key"]):
+        place = F.col("no") if "run" in by else F.col("run").alias("no")
+        ordered = F.array_sort(F.collect_list(F.struct(place, "a", "b", "s", "t")))
+        made = made.groupBy(*by).agg(fold(ordered).alias("h"), F.sum("n").alias("n")).select(*by, "h.*", "n")
+    return made.select(F.col("key").alias(key), F.col("a").alias("hash_a"), F.col("b").alias("hash_b"), F.col("n").alias("n_bytes"))
 
 
 def chunk_rows(df: DataFrame, moduli: tuple[int, int] = MODULI, size: int = COMPARE_CHUNK) -> DataFrame:
@@ -152,8 +162,8 @@ def chunk_rows(df: DataFrame, moduli: tuple[int, int] = MODULI, size: int = COMP
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             held = 0
-            for text in batch.column(0).to_pylist():
-                data = normalise(text)
+            for value in batch.column(0):
+                data = normalise(value.as_py())
                 a, b = maker.of(data)
                 for i in range(0, len(data), size):
                     for col, x in zip(cols, (a, b, len(data), i // size, data[i : i + size]), strict=True):
@@ -164,7 +174,7 @@ def chunk_rows(df: DataFrame, moduli: tuple[int, int] = MODULI, size: int = COMP
                     cols, held = [[], [], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return df.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "hash_a long, hash_b long, n_bytes long, chunk_no long, chunk binary")
+    return df.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "hash_a long, hash_b long, n_bytes long, chunk_no long, chunk binary")
 
 
 def collisions(df: DataFrame, groups: DataFrame, small: bool, moduli: tuple[int, int] = MODULI) -> DataFrame:
@@ -172,6 +182,8 @@ def collisions(df: DataFrame, groups: DataFrame, small: bool, moduli: tuple[int,
     parts = chunk_rows(df, moduli)
     if small:
         parts = parts.join(F.broadcast(groups.select(*KEY)), KEY, "left_semi")
+    else:
+        parts = sifted(parts, sieve(groups, F.xxhash64(*KEY)), F.xxhash64(*KEY)).where("_maybe").drop("_maybe")
     ends = parts.groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     return ends.where(F.col("least") != F.col("most")).select(*KEY).distinct()
 
@@ -186,10 +198,11 @@ def exact_duplicates(df: DataFrame, moduli: tuple[int, int] = MODULI, broadcast_
     small = several.count() * 48 <= broadcast_bytes
     odd = scratch.store(collisions(df, several, small, moduli), "odd")
     if odd.isEmpty():
-        joined = facts.join(groups, KEY)
+        joined = spread_join(facts, groups, KEY)
     else:
-        told = facts.join(odd.withColumn("odd", F.lit(True)), KEY, "left").withColumn("told", F.when(F.col("odd"), F.col("text_sha256")).otherwise(""))
-        joined = told.join(told.groupBy(*KEY, "told").agg(F.count(F.lit(1)).alias("group_size"), first), [*KEY, "told"])
+        told = spread_join(facts, odd.withColumn("odd", F.lit(True)), KEY, "left").withColumn("told", F.when(F.col("odd"), F.col("text_sha256")).otherwise(""))
+        told = scratch.store(told, "told")
+        joined = spread_join(told, told.groupBy(*KEY, "told").agg(F.count(F.lit(1)).alias("group_size"), first), [*KEY, "told"])
     return joined.select("row_id", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"), "text_sha256", *KEY)
 
 
@@ -199,20 +212,25 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but the first row of each group of equal texts, all columns as they were."""
+    """``docs`` without all but the first row of each group of equal texts, all columns as they were, whatever their names."""
     scratch = Scratch(docs.sparkSession)
     found = exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
     found = scratch.store(found, "decisions")
-    gone = found.where("not stays").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    id_, theirs, own = fresh(docs, "_id", "_digest", "_own")
+    gone = found.where("not stays").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(theirs))
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ").cast("binary"), 256)
+    rows = docs.withColumn(own, digest)
+    equal = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(theirs))
     if gone.count() * GONE_BYTES <= BROADCAST_BYTES:  # then texts needn't move
-        gone = F.broadcast(gone)
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ").cast("binary"), 256)
-    out = docs.withColumn("_own", digest)
-    out = out.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_anti")
+        out = rows.join(F.broadcast(gone), equal, "left_anti")
+    else:
+        hashed = F.xxhash64(F.col("doc_id").cast("long"), F.col(own))
+        tested = sifted(rows, sieve(gone, F.xxhash64(id_, theirs)), hashed)
+        out = tested.where("not _maybe").drop("_maybe").unionByName(tested.where("_maybe").drop("_maybe").join(gone, equal, "left_anti"))
     # rows that repeat doc_id and text stay together; only where there are any, one of each is picked
     if not found.where("stays and rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_own"])
-    return out.drop("_own")
+        out = out.dropDuplicates(["doc_id", own])
+    return out.drop(own)
 
 
 ORACLE_SQL = """

@@ -6,6 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
+
 from stowage.llm import exact_dedup as d
 
 
@@ -64,3 +65,22 @@ def test_keep_first(spark):
     out = d.keep_first(df)
     assert out.columns == df.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(["3", "2", "7", "8", "10", "12", "None"])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "a b", "x", 1), (2, "a  b", "y", 2), (3, None, None, 3), (4, "", "z", 4), (4, "", "z", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own string, _ID int").withColumn("_digest", F.lit(1)).withColumn("_maybe_", F.lit(2))
+    kept = d.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r)[:4] for r in kept.collect()) == [(1, "a b", "x", 1), (3, None, None, 3)]
+
+
+def test_beyond_the_broadcast_limit(spark, monkeypatch):
+    rows = [(i, f"text {i % 40}" if i < 300 else f"own {i}") for i in range(500)] + [(None, "text 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, d.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
+    kept = sorted(r.doc_id for r in d.keep_first(docs).collect())
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
+    got = sorted(map(tuple, d.exact_duplicates(docs, broadcast_bytes=0).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
+    assert got == want and kept == [*range(40), *range(300, 500)]
+    assert sorted(r.doc_id for r in d.keep_first(docs).collect()) == kept
