@@ -4,12 +4,14 @@ A packer reads pieces one by one and puts each into the open bin with the
 least free space that still holds it. Open bins are keyed by free space: bit f
 of one integer says whether some open bin has f tokens free, so the best fit is
 the lowest set bit at or above the piece's length. At most ``open_bins`` bins
-are open; when one more is needed the fullest is closed.
+are open; when one more is needed the fullest is closed. Pieces come in an order
+that a hash makes, in waves of ``WAVE``; those of a wave are taken by falling
+length, so that long ones don't come when only small gaps are left.
 
 Scale: tokenising writes one row of numbers per piece. Those rows alone are
-dealt evenly among packers (``pieces_per_packer`` each) and sorted by falling
-length inside each, so that little space is lost; the number of packers grows
-with the input, and each loses less than one bin beyond best fit.
+dealt evenly among packers (``pieces_per_packer`` each), whose memory is bounded by
+their open bins and a wave; the number of packers grows with the input, and each
+leaves at most its open bins unfilled.
 
 Defined results: null texts are empty and give the closing id alone; a document
 longer than a sequence is cut into full pieces after a shorter first one; null
@@ -19,21 +21,26 @@ or repeated doc_ids are packed like any other row; no rows in, no rows out.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.tokens import Encoder
+from stowage.llm.words import rows_by_bytes
+from stowage.llm.workers import lean
 from stowage.tables import Scratch, table
 
 CAPACITY = 2048
-OPEN_BINS = 1 << 16
+OPEN_BINS = 1024
 PIECES_PER_PACKER = 100_000
+#: Pieces that a packer looks at together and takes by falling length.
+WAVE = 4 * OPEN_BINS
 
 
 class BestFit:
@@ -94,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encode = Encoder(tokenizer)
         tail = np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        for batch in batches:
+        for batch in rows_by_bytes(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encode(text or "") + tail
@@ -102,25 +109,43 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     rows.append((doc_id, i, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 def pack(found: DataFrame, n_pieces: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_packer: int = PIECES_PER_PACKER) -> DataFrame:
     """``found`` with ``sequence_id`` and ``offset``; it must be a stored table, so that a repeated task sees the same rows."""
 
+    names = [*found.columns, "sequence_id", "offset"]
+
     def run(batches: Iterable[pa.RecordBatch]):
         packer = BestFit(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            places = [packer.place(n) for n in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([base + p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
-            )
+        for wave in waves(batches, WAVE):
+            wave = wave.take(pa.compute.sort_indices(wave, [("length", "descending")]))
+            places = [packer.place(n) for n in wave.column("length").to_pylist()]
+            wave = wave.append_column("sequence_id", pa.array([base + p[0] for p in places], pa.int64()))
+            wave = wave.append_column("offset", pa.array([p[1] for p in places], pa.int64()))
+            yield from wave.select(names).combine_chunks().to_batches()
 
     packers = max(1, -(-n_pieces // per_packer))
-    dealt = found.repartition(packers).sortWithinPartitions(F.col("length").desc(), "doc_id", "piece")
-    return dealt.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    dealt = found.repartition(packers).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
+    return dealt.mapInArrow(lean(run), f"{PIECES}, sequence_id long, offset long")
+
+
+def waves(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of ``batches`` in tables of ``rows`` each; the last may be shorter."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, rows - size))
+            size += held[-1].num_rows
+            batch = batch.slice(held[-1].num_rows)
+            if size == rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

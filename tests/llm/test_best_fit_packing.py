@@ -83,3 +83,26 @@ def test_query_rebuilds_every_document(spark, tmp_path):
         assert at <= 2048
     assert len(bins) <= sum(w[3] for w in want) // 2048 + 2
     assert b.pack_documents(spark.createDataFrame(rows[:0], "doc_id long, text string")).count() == 0
+
+
+def test_bins_are_closed_and_little_is_lost(spark):
+    rng = random.Random(3)
+    lengths = [rng.choice([rng.randint(1, 300), rng.randint(300, 2048), 2048]) for _ in range(30_000)]
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    found = spark.createDataFrame(rows, b.PIECES).repartition(3)
+    out = b.pack(found, len(rows)).toPandas()
+    assert len(out) == len(rows)
+    bins = out.sort_values("offset").groupby("sequence_id")
+    ends = bins["length"].sum()
+    assert ends.max() <= b.CAPACITY and (bins["length"].cumsum() - out.sort_values("offset")["length"] == out.sort_values("offset")["offset"]).all()
+    least = -(-sum(lengths) // b.CAPACITY)
+    assert len(ends) > b.OPEN_BINS and len(ends) <= 1.005 * least
+
+
+def test_tiktoken_is_used_only_where_it_agrees(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert Encoder(path).quick is not None
+    other = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert Encoder(path, other).quick is None
+    assert Encoder(path, str(tmp_path / "none")).quick is None
+    assert Encoder(path, other)("some text, and more") == Encoder(path)("some text, and more")
