@@ -8,9 +8,9 @@ quarantined gap. No byte is unaccounted for: records and gaps tile the file.
 
 Writing goes through Spark's own text sink, so it reaches any store that Spark
 can open: records end in two line breaks, which serve as the sink's line
-separator, and each row holds the records of one file of bounded size.
+separator, and each row holds records of about ``ROW_BYTES``.
 
-Scale: each task writes files of about ``FILE_BYTES``; each file is read by one
+Scale: each task writes files of up to about ``FILE_BYTES``; each file is read by one
 task. Of equal payloads only digests and numbers are shuffled to find the one
 that is written whole.
 
@@ -18,13 +18,17 @@ Defined results: a null html is an empty payload; payloads under
 ``REVISIT_BYTES`` are always responses; rows that repeat page_id and payload
 are all responses when they hold the largest page_id; a null page_id gives
 records without a page number (smallest of its group); a null url leaves the
-target out; no rows in, no rows out.
+target out; no rows in, no rows out. A header that can't be read (lengths,
+digests, ids of any form) makes a gap, never a failed job; an id that isn't a
+page's gives a record without a page number.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.llm.skew import spread_join
+from stowage.llm.words import rows_by_bytes
 from stowage.llm.workers import lean
 from stowage.tables import Scratch, table
 
@@ -39,11 +45,18 @@ VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
 REVISIT_BYTES = 1000
-FILE_BYTES = 8 << 20
+FILE_BYTES = 64 << 20
+#: Records that go to the sink as one row, at about so many bytes.
+ROW_BYTES = 1 << 20
+#: What a gzip member may hold: no row holds more.
+MEMBER_BYTES = (1 << 31) - 1
+#: Lengths have this many digits at most: nothing is longer than 2**63.
+LENGTH_DIGITS = 19
 #: Groups of equal payloads are broadcast up to this size, at so many bytes each; beyond it they are joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 KEY_BYTES = 160
 ID_PREFIX = "urn:page:"
+_ID = re.compile(rf"<?{re.escape(ID_PREFIX)}(-?[0-9]{{1,{LENGTH_DIGITS}}})>?")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -61,6 +74,16 @@ def sha1_label(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
+def label_digest(label: str) -> bytes | None:
+    """The digest of a ``sha1:`` label in base 32 or hexadecimal digits; None if it is neither."""
+    digits = label[len("sha1:") :].strip()
+    try:
+        made = bytes.fromhex(digits) if len(digits) == 40 else base64.b32decode(digits, casefold=True)
+    except ValueError:
+        return None
+    return made if len(made) == 20 else None
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """A whole record without the two line breaks that end it."""
     lines = [
@@ -101,30 +124,37 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
         if not colon:
             raise Bad("header line without a colon")
         fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
-    length = fields.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
+    length = fields.get("content-length", "").lstrip("0") or "0"
+    if "content-length" not in fields or not (length.isascii() and length.isdigit()):
         raise Bad("no content length")
     start = split + len(END)
-    stop = start + int(length)
+    stop = start + int(length) if len(length) <= LENGTH_DIGITS else len(data)
     if not data.startswith(END, stop):
         raise Bad("content not followed by its end")
     payload = data[start:stop]
     kind = fields.get("warc-type")
     if kind is None:
         raise Bad("no record type")
-    digest = fields.get("warc-payload-digest")
-    if kind != "revisit" and digest and digest.startswith("sha1:") and digest != sha1_label(hashlib.sha1(payload).digest()):
-        raise Bad("payload doesn't match its digest")
+    digest = fields.get("warc-payload-digest", "")
+    if digest.lower().startswith("sha1:"):
+        told = label_digest(digest)
+        if told is None:
+            raise Bad("a digest that can't be read")
+        if kind != "revisit" and told != hashlib.sha1(payload).digest():
+            raise Bad("payload doesn't match its digest")
     return fields | {"payload": payload}, stop + len(END)
 
 
 def unzip(data: bytes, at: int) -> tuple[bytes, int]:
     reader = zlib.decompressobj(31)
-    out = []
+    out, size = [], 0
     try:
         while not reader.eof and at < len(data):
             out.append(reader.decompress(data[at : at + (1 << 16)]))
             at += 1 << 16
+            size += len(out[-1])
+            if size > MEMBER_BYTES:
+                raise Bad("member too large")
     except zlib.error as e:
         raise Bad(str(e)) from None
     if not reader.eof:
@@ -132,19 +162,19 @@ def unzip(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(at, len(data)) - len(reader.unused_data)
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int, dict | str]]:
     """('record', start, end, fields) and ('gap', start, end, reason), which tile ``data`` in order.
 
-    Positions in compressed files are those of the members.
+    Positions in compressed files are those of the members; members in members aren't opened.
     """
     at = lost_from = 0
     reason = ""
     next_version = -1
     while at < len(data):
         try:
-            if data.startswith(MEMBER, at):
+            if members and data.startswith(MEMBER, at):
                 plain, end = unzip(data, at)
-                inner = list(salvage(plain))
+                inner = list(salvage(plain, False))
                 if not inner:
                     raise Bad("empty member")
                 found = [(kind, at, end, x) for kind, _, _, x in inner]
@@ -160,7 +190,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
             reason = reason or str(e)
             if next_version <= at:
                 next_version = data.find(VERSION, at + 1) % (len(data) + 1)  # none: where the data end
-            next_member = data.find(MEMBER, at + 1, next_version)
+            next_member = data.find(MEMBER, at + 1, next_version) if members else -1
             at = next_version if next_member < 0 else next_member
     if lost_from < len(data):
         yield "gap", lost_from, len(data), reason
@@ -175,8 +205,9 @@ def plan(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     first = keyed.where("key is not null").groupBy("key").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     first = Scratch(pages.sparkSession).store(first.select("key", "first_id"), "first")
     if first.count() * KEY_BYTES <= BROADCAST_BYTES:  # then payloads needn't move to find their group
-        first = F.broadcast(first)
-    joined = keyed.join(first, "key", "left")
+        joined = keyed.join(F.broadcast(first), "key", "left")
+    else:
+        joined = spread_join(keyed, first, ["key"], "left")
     # of a group without any page number none can be referred to
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("first_id")).alias("refers_to"))
@@ -188,20 +219,28 @@ def write(planned: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     def run(batches: Iterable[pa.RecordBatch]):
         held: list[bytes] = []
         size = 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([END.join(held).decode()], pa.large_string())], names=["value"])
-        for batch in batches:
+        # html comes as text, so records are UTF-8
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary()).view(pa.string())], names=["value"])
+        for batch in rows_by_bytes(batches, 2):
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made = record(page_id, url, payload, hashlib.sha1(payload).digest(), refers_to, refers_to is not None)
-                if held and size + len(made) > file_bytes:
+                held.append(record(page_id, url, payload, hashlib.sha1(payload).digest(), refers_to, refers_to is not None))
+                size += len(held[-1])
+                if size >= row_bytes:
                     yield out()
                     held, size = [], 0
-                held.append(made)
-                size += len(made)
         if held:
             yield out()
 
+    row_bytes = min(ROW_BYTES, file_bytes)
     rows = planned.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(run), "value string")
-    rows.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
+    rows.write.option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, file_bytes // row_bytes)).text(path)
+
+
+def number(name: str) -> int | None:
+    """The page number of a record id; None if it has none, or one that no 64-bit number holds."""
+    found = _ID.fullmatch(name)
+    value = int(found[1]) if found else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
 
 
 RECORDS = "file string, start long, end long, kind string, page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, payload binary, reason string"
@@ -210,10 +249,6 @@ RECORDS = "file string, start long, end long, kind string, page_id long, url str
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every record and every quarantined gap (``kind``) of the archives below ``path``."""
 
-    def number(name: str) -> int | None:
-        digits = name.strip("<>").removeprefix(ID_PREFIX)
-        return int(digits) if digits.lstrip("-").isdigit() else None
-
     schema = pa.schema(
         [("file", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string())]
         + [("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("reason", pa.string())]
@@ -230,7 +265,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                         continue
                     body, label = x["payload"], x.get("warc-payload-digest", "")
                     revisit = x["warc-type"] == "revisit"
-                    digest = base64.b32decode(label[5:]).hex() if revisit and label.startswith("sha1:") else hashlib.sha1(body).hexdigest()
+                    digest = label_digest(label).hex() if revisit and label.lower().startswith("sha1:") else hashlib.sha1(body).hexdigest()
                     uri = x.get("warc-target-uri")
                     rows.append((file, start, end, kind, number(x.get("warc-record-id", "")), None if uri is None else plain_value(uri), x["warc-type"], number(x.get("warc-refers-to", "")), digest, None if revisit else len(body), body if with_payload else None, None))
                     held += len(body) if with_payload else 100
@@ -244,15 +279,29 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     return files.select("path", "content").mapInArrow(lean(run), RECORDS)
 
 
+def gaps(found: DataFrame) -> DataFrame:
+    """(file, reason, gaps, bytes) of the quarantined gaps among ``read``'s rows."""
+    lost = found.where("kind = 'gap'")
+    return lost.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("gaps"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
+
+
+def report_gaps(found: DataFrame, shown: int = 100) -> None:
+    """Logs the files and reasons with the most quarantined bytes."""
+    for r in gaps(found).orderBy(F.col("bytes").desc(), "file", "reason").limit(shown).collect():
+        logging.getLogger("stowage").warning("%s: %d gaps of %d bytes quarantined: %s", r["file"], r["gaps"], r["bytes"], r["reason"])
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     path = scratch.path("warc")
     write(plan(table(spark, sf_dir, "pages")), path)
-    found = scratch.store(read(spark, path, with_payload=False).where("kind = 'record'").select("page_id", "record_type", "refers_to", "digest", "payload_bytes"), "records")
+    found = scratch.store(read(spark, path, with_payload=False).select("file", "start", "end", "kind", "page_id", "record_type", "refers_to", "digest", "payload_bytes", "reason"), "records")
+    report_gaps(found)
+    found = found.where("kind = 'record'").select("page_id", "record_type", "refers_to", "digest", "payload_bytes")
     scratch.drop("warc")
     sizes = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("digest"), F.col("payload_bytes").alias("full")).dropDuplicates(["refers_to", "digest"])
     # a revisit's length is that of the response which it names
-    revisits = found.where("record_type = 'revisit'").join(sizes, ["refers_to", "digest"], "left").withColumn("payload_bytes", F.col("full"))
+    revisits = spread_join(found.where("record_type = 'revisit'"), sizes, ["refers_to", "digest"], "left").withColumn("payload_bytes", F.col("full"))
     columns = ["page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"]
     return found.where("record_type = 'response'").select(*columns).unionByName(revisits.select(*columns))
 

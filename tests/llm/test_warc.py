@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stowage.llm import warc
@@ -76,3 +78,50 @@ def test_empty_table_and_urls(spark, tmp_path):
     assert warc.op9_warc(spark, str(tmp_path)).count() == 0
     warc.write(warc.plan(spark.createDataFrame([(1, "a\r\nb%0Ac", "x")], "page_id long, url string, html string")), f"{tmp_path}/w")
     assert [r.url for r in warc.read(spark, f"{tmp_path}/w").collect()] == ["a\r\nb%0Ac"]
+
+
+PIECES = [warc.VERSION, warc.END, warc.MEMBER, b"Content-Length: ", b"9" * 5000, b"3", b"WARC-Type: revisit\r\n", b"WARC-Payload-Digest: sha1:ABC\r\n", b"WARC-Record-ID: <urn:page:--5>\r\n", made(7) + warc.END, warc.member(made(8)), made(9).replace(b"urn:page:9", "urn:page:²".encode()) + warc.END]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.binary(max_size=8)), max_size=12))
+def test_any_bytes_are_tiled(parts):
+    for kind, _, _, x in tiles(b"".join(parts)):
+        if kind == "record":
+            warc.number(x.get("warc-record-id", ""))
+            assert x["warc-type"] != "revisit" or not x.get("warc-payload-digest") or warc.label_digest(x["warc-payload-digest"])
+
+
+def test_odd_headers():
+    digits = made(1).replace(b"Content-Length: 8", b"Content-Length: " + b"9" * 5000)
+    assert [k for k, *_ in tiles(digits + warc.END + made(2) + warc.END)] == ["gap", "record"]
+    padded = made(1).replace(b"Content-Length: 8", b"Content-Length: 0000000000000000000000000008")
+    assert [k for k, *_ in tiles(padded + warc.END)] == ["record"]
+    hexed = made(1).replace(warc.sha1_label(hashlib.sha1(b"<p>x</p>").digest()).encode(), b"sha1:" + hashlib.sha1(b"<p>x</p>").hexdigest().encode())
+    assert [k for k, *_ in tiles(hexed + warc.END)] == ["record"]
+    assert [warc.number(x) for x in ("<urn:page:5>", "urn:page:-5", "<urn:page:--5>", "<urn:page:²>", "<urn:page:>", f"<urn:page:{1 << 63}>", "x")] == [5, -5, None, None, None, None, None]
+    nested = warc.member(warc.member(made(1)))
+    assert [k for k, *_ in tiles(nested)] == ["gap"]
+
+
+def test_reading_damaged_and_compressed_archives(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    broken = made(3).replace(b"sha1:", b"sha1:!").replace(b"response", b"revisit")
+    (tmp_path / "w" / "a.txt").write_bytes(b"junk" + made(1) + warc.END + broken + warc.END + made(2).replace(b"urn:page:2", b"urn:page:--2") + warc.END)
+    (tmp_path / "w" / "b.txt.gz").write_bytes(warc.member(made(4)) + b"\x1f\x8b\x08bad" + warc.member(made(5)) + warc.member(made(6))[:-9])
+    found = warc.read(spark, f"{tmp_path}/w")
+    assert sorted((r.page_id or 0, r.digest) for r in found.where("kind = 'record'").collect()) == [(i, hashlib.sha1(b"<p>x</p>").hexdigest()) for i in (0, 1, 4, 5)]
+    lost = {(r.file.rsplit("/", 1)[1], r.reason): r.gaps for r in warc.gaps(found).collect()}
+    assert lost == {("a.txt", "no version line"): 1, ("a.txt", "a digest that can't be read"): 1, ("b.txt.gz", lost and next(k[1] for k in lost if k[0] == "b.txt.gz" and "end" not in k[1])): 1, ("b.txt.gz", "member without an end"): 1}
+    warc.report_gaps(found)
+
+
+def test_files_are_bounded_and_groups_joined_by_shuffling(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    rows = [(i, f"u{i}", f"{i % 50} " * 600) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    planned = warc.plan(pages)
+    assert planned.where("refers_to is not null").count() == 550
+    warc.write(planned, f"{tmp_path}/w", file_bytes=10_000)
+    found = warc.read(spark, f"{tmp_path}/w")
+    assert found.count() == 600 and found.where("kind = 'record'").count() == 600 and found.select("file").distinct().count() > 5
