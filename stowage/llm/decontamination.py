@@ -8,14 +8,15 @@ item's shingles, so windows with fewer shingles of items of that length are
 passed over: running sums of hits show this without looking at each window.
 
 The 128-bit SimHash of each window left is looked up in a multi-index: the
-bits are cut into ``RADIUS`` + 1 blocks, so a fingerprint within the radius
-agrees in at least one block. At similarity 0.8 the expected distance is 19
+bits are cut into ``BLOCKS`` blocks with thresholds such that a fingerprint within
+the radius differs in at least one block by no more than that block's. At similarity 0.8 the expected distance is 19
 bits with a standard deviation of 4, and the radius lies 4 deviations above.
 Candidates within the radius are verified by exact weighted Jaccard similarity.
 
 Scale: one map over documents for each block of the benchmark; a block holds
 items of about ``BLOCK_BYTES``, so what is sent to tasks is bounded whatever
-the benchmark's size. No shuffle of documents.
+the benchmark's size. With several blocks each one's result is written out before
+the next is read, so the driver holds one at a time. No shuffle of documents.
 
 Defined results: null or empty texts and items without words match nothing;
 repeated documents or items each give their own rows; of a pair's windows the
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,13 @@ from pyspark.sql import functions as F
 
 from stowage.llm.words import ONLY_WORDS, U, Words, chunks, mix, rows_by_bytes
 from stowage.llm.workers import lean
-from stowage.tables import table
+from stowage.tables import Scratch, table
 
 WIDTH = 5
 THRESHOLD = 0.8
 BITS = 128
 RADIUS = 36
+BLOCKS = 8
 BLOCK_BYTES = 4 << 20
 
 
@@ -61,27 +64,57 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / (a.total() + b.total() - shared)
 
 
+def thresholds(radius: int, blocks: int) -> list[int]:
+    """Bits by which each block may differ, so that of any two prints within the radius some block does: one less in all would let one slip."""
+    least, more = divmod(radius + 1 - blocks, blocks)
+    return [least + (i < more) for i in range(blocks)]
+
+
+@cache
+def masks(bits: int, most: int) -> np.ndarray:
+    """Every number of ``bits`` bits of which at most ``most`` are set, fewest first."""
+    count = np.bitwise_count(np.arange(1 << bits, dtype=np.int64))
+    return np.argsort(count, kind="stable")[: int((count <= most).sum())]
+
+
 class MultiIndex:
-    """Fingerprints by blocks of bits: ``near(f)`` gives all within the radius, and their distances."""
+    """Fingerprints by blocks of bits: ``near(f)`` gives all within the radius, and their distances.
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
-        self.prints, self.radius = prints, radius
-        cuts = np.linspace(0, BITS, radius + 2).astype(int)
-        self.blocks = [(int(a), int(b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.tables: list[dict[int, list[int]]] = [{} for _ in self.blocks]
-        for i, f in enumerate(prints):
-            for table, value in zip(self.tables, self._values(f), strict=True):
-                table.setdefault(value, []).append(i)
+    Two prints within the radius differ in one of the blocks by no more than its
+    threshold (see ``thresholds``). Each block has a table of its values; a
+    look-up goes to all values that near. Of unrelated prints about a fifth are met so
+    and then compared, at 128 bits, 8 blocks and a radius of 36.
+    """
 
-    def _values(self, print_: np.ndarray) -> list[int]:
-        whole = int(print_[0]) | int(print_[1]) << 64
-        return [whole >> start & ((1 << size) - 1) for start, size in self.blocks]
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS) -> None:
+        self.prints, self.radius = prints, radius
+        self.bits = BITS // blocks
+        self.most = thresholds(radius, blocks)
+        values = self._values(prints)
+        self.order = [np.argsort(v, kind="stable") for v in values]
+        edges = np.arange((1 << self.bits) + 1)
+        self.starts = [np.searchsorted(v[o], edges).astype(np.int32) for v, o in zip(values, self.order, strict=True)]
+
+    def _values(self, prints: np.ndarray) -> list[np.ndarray]:
+        per_word = 64 // self.bits
+        return [(prints[:, i // per_word] >> U(self.bits * (i % per_word)) & U((1 << self.bits) - 1)).astype(np.int64) for i in range(len(self.most))]
+
+    def met(self, print_: np.ndarray) -> np.ndarray:
+        """The numbers of the prints that some block brings up."""
+        hit = np.zeros(len(self.prints), bool)
+        for value, most, order, starts in zip(self._values(print_[None, :]), self.most, self.order, self.starts, strict=True):
+            if most < 0:
+                continue
+            near = masks(self.bits, most) ^ value[0]
+            first, size = starts[near], starts[near + 1] - starts[near]
+            used = np.flatnonzero(size)
+            first, size = first[used], size[used]
+            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            hit[order[at]] = True
+        return np.flatnonzero(hit)
 
     def near(self, print_: np.ndarray) -> list[tuple[int, int]]:
-        met = {i for table, value in zip(self.tables, self._values(print_), strict=True) for i in table.get(value, ())}
-        if not met:
-            return []
-        found = np.fromiter(sorted(met), np.int64)
+        found = self.met(print_)
         distance = np.bitwise_count(self.prints[found] ^ print_).sum(1)
         return [(int(i), int(d)) for i, d in zip(found, distance, strict=True) if d <= self.radius]
 
@@ -91,6 +124,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD) -> None:
         self.threshold = threshold
+        self.block, self.blocks = 0, 1
         self.ids, self.bags, prints, kinds = [], [], [], []
         for item_id, text in rows:
             words = Words([fold(text)], kinds=ONLY_WORDS)
@@ -159,19 +193,21 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The benchmark in blocks of about ``block_bytes`` of text, each as ``Items``."""
+    """The benchmark in blocks of about ``block_bytes`` of text, each as ``Items`` with its number and the number of blocks."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield Items([tuple(r) for r in part.orderBy("item_id", "text").collect()])
+        items = Items([tuple(r) for r in part.orderBy("item_id", "text").collect()])
+        items.block, items.blocks = block, blocks
+        yield items
 
 
 MATCHES = "doc_id long, item_id long, similarity double, first_word long, n_words long, distance int"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it holds."""
 
     def scanner(items: Items):
@@ -185,14 +221,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
-    for items in item_blocks(benchmark):
+    scratch, found = Scratch(docs.sparkSession), None
+    for items in item_blocks(benchmark, block_bytes):
         part = rows.mapInArrow(lean(scanner(items)), MATCHES)
+        if items.blocks > 1:
+            part = scratch.store(part, f"matches{items.block}")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without documents that hold an item, all columns as they were."""
 
     def keeper(items: Items, column: int):
@@ -203,8 +241,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for items in item_blocks(benchmark):
+    scratch = Scratch(docs.sparkSession)
+    for items in item_blocks(benchmark, block_bytes):
         docs = docs.mapInArrow(lean(keeper(items, docs.columns.index("text"))), docs.schema)
+        if items.block + 1 < items.blocks:
+            docs = scratch.store(docs, f"clean{items.block}")
+            scratch.drop(f"clean{items.block - 1}")
     return docs
 
 

@@ -91,3 +91,25 @@ def test_multi_index_finds_all_within_radius():
             near[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
         want = [(i, int(c)) for i, c in enumerate(np.bitwise_count(prints ^ near).sum(1)) if c <= d.RADIUS]
         assert index.near(near) == want
+
+
+def test_thresholds_let_no_print_slip():
+    for radius in (0, 3, 7, 20, 36):
+        for blocks in (1, 4, 8):
+            most = d.thresholds(radius, blocks)
+            assert len(most) == blocks and sum(t + 1 for t in most) == radius + 1
+
+
+def test_few_unrelated_prints_are_compared():
+    rng = np.random.default_rng(2)
+    index = d.MultiIndex(rng.integers(0, 2**64, (3000, 2), dtype=np.uint64))
+    met = [len(index.met(p)) for p in rng.integers(0, 2**64, (50, 2), dtype=np.uint64)]
+    assert 0.1 < np.mean(met) / 3000 < 0.25
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark):
+    docs, items = corpus()
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, cut = (sorted(map(str, d.matches(frame, bench, n).collect())) for n in (d.BLOCK_BYTES, 500))
+    assert whole == cut and whole
+    assert sorted(str(r.doc_id) for r in d.clean(frame, bench, 500).collect()) == sorted(str(r.doc_id) for r in d.clean(frame, bench).collect())
