@@ -17,7 +17,8 @@ turn) gives reply order: every message follows the one it answers.
 
 Scale: passages meet their origin through the first author of each hash and
 conversation, an aggregate combined before shuffling, so no group's rows are
-paired with each other. Threads are found by pointer jumping over the messages
+paired with each other; rows of a frequent hash, or of the many answers to one
+message, are dealt to several tasks. Threads are found by pointer jumping over the messages
 that answer something; rounds grow with the logarithm of the longest chain.
 
 Defined results: null texts have no passages and an empty body; rows that
@@ -31,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.llm.skew import spread_join
 from stowage.tables import Scratch, table
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
@@ -122,7 +124,7 @@ def rebuild(messages: DataFrame) -> DataFrame:
     origin = written.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     quoted = known.select("conv_id", "turn", F.posexplode("quoted").alias("place", "q")).select("conv_id", "turn", "place", "q.level", hashes(parts(F.col("q.lines"))).alias("all"))
     quoted = quoted.select("conv_id", "turn", "place", "level", F.posexplode("all").alias("part", "x")).select("conv_id", "turn", "place", "level", "part", "x.*")
-    linked = quoted.join(origin, ["conv_id", "hash"]).where("origin < turn")
+    linked = spread_join(quoted, origin, ["conv_id", "hash"]).where("origin < turn")
     # the outermost, then the first, then the longest passage decides
     first = F.min(F.struct("level", "place", (-F.col("length")).alias("short"), "part", (-F.col("origin")).alias("late"))).alias("first")
     replies = scratch.store(linked.groupBy("conv_id", "turn").agg(first).select("conv_id", "turn", (-F.col("first.late")).alias("reply_to")), "replies")
@@ -131,7 +133,7 @@ def rebuild(messages: DataFrame) -> DataFrame:
     paths = scratch.store(replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).alias("depth")), "paths0")
     for turn in range(1, MAX_ROUNDS):
         ahead = paths.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        moved = paths.join(ahead, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved"))
+        moved = spread_join(paths, ahead, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved"))
         stored = scratch.store(moved, f"paths{turn}")
         scratch.drop(f"paths{turn - 1}")
         paths = stored.drop("moved")
@@ -142,5 +144,18 @@ def rebuild(messages: DataFrame) -> DataFrame:
     return placed.select("conv_id", "turn", "role", "content", "reply_to", F.col("quotes").cast("long").alias("quotes"), F.coalesce("root", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), chat.alias("chat"))
 
 
+def threads(rebuilt: DataFrame) -> DataFrame:
+    """(conv_id, thread_turn, messages, chat) of each thread of ``rebuild``'s rows: its messages in reply order as one chat-formatted text.
+
+    A thread becomes one row, as a training example is one. Messages without a conversation or turn are threads by themselves.
+    """
+    known = rebuilt.where("conv_id is not null and turn is not null")
+    message = F.struct("turn", "role", "chat")
+    held = known.groupBy("conv_id", "thread_turn").agg(F.array_sort(F.collect_list(message)).alias("all"))
+    joined = held.select("conv_id", "thread_turn", F.size("all").cast("long").alias("messages"), F.array_join("all.chat", "\n").alias("chat"))
+    alone = rebuilt.where("conv_id is null or turn is null").select("conv_id", "thread_turn", F.lit(1).cast("long").alias("messages"), "chat")
+    return joined.unionByName(alone)
+
+
 def op6_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild(table(spark, sf_dir, "conversations"))

@@ -147,3 +147,11 @@ def test_short_passages_are_linked(spark):
     rows += [(10, 0, "user", "No"), (10, 1, "user", "A longer answer."), (10, 2, "user", "> No\n> A longer answer.\nwell"), (10, 3, "user", "> ...\nwell")]
     got = {(r.conv_id, r.turn): r.reply_to for r in q.rebuild(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {(c, t): 0 if t else None for c in range(6) for t in (0, 1)} | {(10, 0): None, (10, 1): None, (10, 2): 1, (10, 3): None}
+
+
+def test_threads_are_assembled_in_reply_order(spark):
+    rows = [(1, 0, "user", "first question here"), (1, 1, "assistant", "> first question here\nan answer"), (1, 2, "user", "another topic"), (1, 3, "user", "> an answer\nthanks"), (None, 1, "user", "alone"), (2, None, "user", "turnless")]
+    out = q.threads(q.rebuild(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    by = {(r.conv_id, r.thread_turn): (r.messages, r.chat) for r in out}
+    assert by[1, 0] == (3, "<|user|>\nfirst question here\n<|end|>\n<|assistant|>\nan answer\n<|end|>\n<|user|>\nthanks\n<|end|>")
+    assert by[1, 2][0] == by[None, 1][0] == by[2, None][0] == 1 and sum(r.messages for r in out) == len(rows)
