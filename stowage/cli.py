@@ -23,7 +23,7 @@ HELP = """usage: ARCHIVE [options and paths]
   -L, --list          list the entries
   -r, --recurse       with all that folders hold; --no-recurse ends it
   -C, --compression   METHOD, LEVEL or METHOD/LEVEL; methods: none, huffman, deflate
-  -l, --log-level     off, critical, error, warn, info, debug or trace
+  -l, --log-level     trace, debug, info, warn, error, critical or off, their first letters, or 0 to 6; in any case
   -D, --dir           folder that paths start from
   -h, --help          this text"""
 
@@ -60,6 +60,14 @@ def parse_compression(spec: str, method: int, level: int) -> tuple[int, int]:
     return method, int(digits)
 
 
+def log_level(value: str) -> int:
+    """The level of a name, its first letter or its digit, in any case."""
+    for digit, (name, level) in enumerate(LOG_LEVELS.items()):
+        if value.lower() in (name, name[0], str(digit)):
+            return level
+    raise UsageError(f"unknown log level {value}")
+
+
 def arguments(argv: list[str]) -> Iterator[tuple[str, str | None]]:
     """(option, value) and ("", path) in order; short options may be grouped."""
     rest = iter(argv)
@@ -102,9 +110,7 @@ class Session:
             elif option == "compression":
                 self.method, self.level = parse_compression(value, self.method, self.level)
             elif option == "log-level":
-                if value not in LOG_LEVELS:
-                    raise UsageError(f"unknown log level {value}")
-                logging.getLogger("stowage").setLevel(LOG_LEVELS[value])
+                logging.getLogger("stowage").setLevel(log_level(value))
             elif option == "dir":
                 if not os.path.isdir(value):
                     raise UsageError(f"no such folder: {value}")

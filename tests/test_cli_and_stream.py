@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.archive import Archive
-from stowage.cli import Session, UsageError, arguments, parse_compression
-from stowage.streaming.append import append_stream
+from stowage.cli import Session, UsageError, arguments, log_level, parse_compression
+from stowage.codec import CodecError
+from stowage.streaming.append import add_batch, append_stream
 
 
 @pytest.mark.parametrize("spec, want", [("none", (0, 0)), ("huffman", (1, 1)), ("deflate", (2, 0)), ("huffman/3", (1, 3)), ("7", (2, 7)), ("0", (2, 0)), ("deflate/x", (2, 0))])
@@ -53,3 +54,59 @@ def test_stream(spark, tmp_path):
     query.stop()
     found = Archive(spark, f"{tmp_path}/a").contents().orderBy("ord").collect()
     assert found[-1].path == "late" and sorted(bytes(r.content).decode() for r in found[:-1]) == [f"text {i}" for i in range(6)]
+
+
+def inputs(spark, *rows):
+    return spark.createDataFrame(list(rows), "path string, entry_type int, permissions int, content binary")
+
+
+def test_streams_keep_to_their_own_parts(spark, tmp_path):
+    a = Archive(spark, f"{tmp_path}/a")
+    for name in ("first", "second"):
+        inputs(spark, (name, 1, 0o644, name.encode())).write.parquet(f"{tmp_path}/in-{name}")
+        schema = spark.read.parquet(f"{tmp_path}/in-{name}").schema
+        query = append_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in-{name}"), f"{tmp_path}/a", f"{tmp_path}/c-{name}")
+        query.processAllAvailable()
+        query.stop()
+    assert sorted(r.path for r in a.entries().collect()) == ["first", "second"]
+
+
+def test_a_repeated_batch_replaces_what_it_wrote(spark, tmp_path):
+    a = Archive(spark, f"{tmp_path}/a")
+    rows = inputs(spark, *((f"f{i}", 1, 0o644, b"x" * i) for i in range(12)))
+    add_batch(inputs(spark, ("before", 1, 0, b"")), 0, a.path, "s")
+    add_batch(rows.repartition(6), 1, a.path, "s")
+    add_batch(inputs(spark, ("other", 1, 0, b"")), 1, a.path, "t")
+    add_batch(rows.coalesce(1), 1, a.path, "s")
+    assert sorted(r.path for r in a.entries().collect()) == sorted(["before", "other", *(f"f{i}" for i in range(12))])
+
+
+def test_inputs_that_cannot_be_written_are_listed(spark, tmp_path):
+    a = Archive(spark, f"{tmp_path}/a")
+    rows = inputs(spark, ("fine", 1, 0o644, b"1"), (None, 1, 0, b"2"), ("odd", 9, 0, b"3"), ("none", 1, None, None))
+    add_batch(rows, 0, a.path, "s", 2, 3, f"{tmp_path}/status")
+    assert sorted(r.path for r in a.entries().collect()) == ["fine", "none"]
+    status = {r.path: r.error for r in spark.read.parquet(f"{tmp_path}/status").collect()}
+    assert status == {"fine": None, None: "no path", "odd": "unknown entry type", "none": None}
+    with pytest.raises(CodecError):
+        append_stream(rows, a.path, f"{tmp_path}/c", 1, 0)
+
+
+@pytest.mark.parametrize("value, want", [("trace", 5), ("DEBUG", 10), ("I", 20), ("3", 30), ("e", 40), ("off", 60), ("6", 60)])
+def test_log_levels(value, want):
+    assert log_level(value) == want
+
+
+@pytest.mark.parametrize("value", ["", "7", "x", "warning!", "-1"])
+def test_bad_log_levels(value):
+    with pytest.raises(UsageError):
+        log_level(value)
+
+
+def test_session_on_a_single_file(spark, tmp_path):
+    (tmp_path / "x").write_text("content of x")
+    Session(spark).run([f"{tmp_path}/one.stow", "-D", str(tmp_path), "x"])
+    assert (tmp_path / "one.stow").is_file()
+    lines = []
+    Session(spark, lines.append).run([f"{tmp_path}/one.stow", "-L"])
+    assert [x.split("    ")[1] for x in lines] == ["x"]
