@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.workers import give_back
+
 ROWS_PER_CLASS = 2500
 MAX_BYTES = 1 << 15
 
@@ -33,4 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int =
     # at most 2 * rows_per_class ids of fixed width
     found = rows.join(F.broadcast(chosen), "_id").select("_order", "_id", "_text", "_label")
     found = found.orderBy("_order", "_id", "_text").limit(2 * rows_per_class).toPandas()
-    return [(t.encode(), int(k)) for t, k in zip(found["_text"], found["_label"], strict=True)]
+    rows = [(t.encode(), int(k)) for t, k in zip(found["_text"], found["_label"], strict=True)]
+    del found
+    give_back()
+    return rows

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import labelled
 from stowage.llm.words import DOWN, ONLY_WORDS, SLICE_BYTES, U, UP, VALUES, Words, chunks, mix, rows_by_bytes
-from stowage.llm.workers import lean
+from stowage.llm.workers import give_back, lean
 from stowage.tables import table
 
 BUCKETS = 1 << 18
@@ -97,7 +97,7 @@ class Bags:
         self.words = Words(texts, kinds=ONLY_WORDS)
         own = np.arange(len(self.words.hashes)), (self.words.hashes & U(BUCKETS - 1)).astype(np.int32)
         owners, made = zip(own, *grams(self.words.raw), strict=True)
-        self.owner, self.grams = np.concatenate(owners), np.concatenate(made)
+        self.owner, self.grams = np.concatenate(owners).astype(np.int32), np.concatenate(made)
 
 
 def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
@@ -181,8 +181,9 @@ class _Trainer:
 
     def __init__(self, texts: list[bytes], seed: int) -> None:
         self.rng = np.random.default_rng(seed)
-        seen, counts, grams, text_words, lengths = np.zeros(0, U), [], [], [], []
+        seen, counts, text_words, lengths = np.zeros(0, U), [], [], []
         order: list[np.ndarray] = []
+        grams = bytearray()  # grows in place
         for a, b in chunks(texts, SLICE_BYTES):
             bags = Bags(texts[a:b])
             hashes = bags.words.hashes
@@ -193,18 +194,21 @@ class _Trainer:
             by_owner = np.argsort(bags.owner, kind="stable")
             owner = bags.owner[by_owner]
             lo, hi = np.searchsorted(owner, pick), np.searchsorted(owner, pick, "right")
-            counts.append(hi - lo)
+            counts.append((hi - lo).astype(np.int32))
             at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
-            grams.append(bags.grams[by_owner[at]].astype(np.int32))
+            grams += memoryview(bags.grams[by_owner[at]]).cast("B")
             order.append(hashes[pick])
             seen = np.union1d(seen, known)
         numbers = np.concatenate(order)
-        by_hash = np.argsort(numbers)
+        by_hash = np.argsort(numbers).astype(np.int32)
         numbers = numbers[by_hash]
-        self.word = np.concatenate([by_hash[np.searchsorted(numbers, h)].astype(np.int32) for h in text_words])
+        for i, h in enumerate(text_words):
+            text_words[i] = by_hash[np.searchsorted(numbers, h)]
+        self.word = np.concatenate(text_words)
+        del text_words, order, numbers, seen
         self.count = np.concatenate(counts)
-        self.start = np.concatenate([[0], np.cumsum(self.count)])
-        self.grams = np.concatenate(grams)
+        self.start = np.concatenate([[0], np.cumsum(self.count, dtype=np.int64)])
+        self.grams = np.frombuffer(grams, np.int32)
         self.first = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
         self.table = self.rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
         self.top = self.rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
@@ -242,19 +246,26 @@ class _Trainer:
         return (self.table @ (self.top[:, 1] - self.top[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
     def words(self) -> np.ndarray:
+        """The score of each word of each text."""
         table, _ = self.linear()
-        return (np.add.reduceat(table[self.grams], self.start[:-1]) / self.count)[self.word]
+        out = np.zeros(len(self.count), np.float32)
+        for lo in range(0, len(out), 1 << 15):
+            hi = min(len(out), lo + (1 << 15))
+            begin = self.start[lo]
+            out[lo:hi] = np.add.reduceat(table[self.grams[begin : self.start[hi]]], self.start[lo:hi] - begin) / self.count[lo:hi]
+        return out[self.word]
 
 
 def train(rows: list[tuple[bytes, int]], rounds: int = 16, rate: float = 0.1, seed: int = 7, batch: int = 128) -> Model:
     """Fits a model to (text, 0 or 1); one without effect if a class is missing."""
     rng = random.Random(seed)
-    texts = [fold(t.decode("utf-8", "replace")) for t, _ in rows]
-    texts += [misspell(t, rng, 0.3) for t in texts]
     labels = [k for _, k in rows] * 2
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -30.0)
+    texts = [fold(t.decode("utf-8", "replace")) for t, _ in rows]
+    texts += [misspell(t, rng, 0.3) for t in texts]
     t = _Trainer(texts, seed)
+    del texts
     spans = [(t.first[i], t.first[i + 1], k) for i, k in enumerate(labels) if t.first[i + 1] > t.first[i]]
 
     toxic = sum(k for *_, k in spans)
@@ -303,7 +314,10 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(labelled.sample(docs, labels, "toxic"))
+    try:
+        return train(labelled.sample(docs, labels, "toxic"))
+    finally:
+        give_back()
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
