@@ -7,11 +7,41 @@ without an index.
 
 from __future__ import annotations
 
-from stowage.codec import deflate, huffman
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from stowage.codec import deflate, huffman, lanes, levels
 from stowage.codec.bits import CodecError
 from stowage.codec.levels import DEFLATE, HUFFMAN, METHODS, NONE, block_size, check_level
 
-__all__ = ["CodecError", "DEFLATE", "HUFFMAN", "METHODS", "NONE", "block_size", "check_level", "decode_content", "encode_block", "encode_content"]
+__all__ = ["Codec", "CodecError", "DEFLATE", "HUFFMAN", "METHODS", "NONE", "block_size", "check_level", "decode_content", "decode_contents", "decode_block", "encode_block", "encode_content", "register", "split", "unregister"]
+
+
+@dataclass(frozen=True)
+class Codec:
+    """How the blocks of a method are coded: ``encode(raw, level, final)``, and ``decode(data, byte, size)`` to (content, next byte)."""
+
+    encode: Callable[[bytes, int, bool], bytes]
+    decode: Callable[[bytes, int, int], tuple[bytes, int]]
+
+
+CODECS: dict[int, Codec] = {HUFFMAN: Codec(huffman.encode, huffman.decode), DEFLATE: Codec(deflate.encode, deflate.decode)}
+
+
+def register(number: int, name: str, codec: Codec, blocks: tuple[int, ...], least: int = 0) -> None:
+    """Adds a method with its levels from ``least`` on and a block size for each level from 0; in every process that codes with it."""
+    if not 0 <= number <= 255 or number in METHODS.values() or name in METHODS or not least < len(blocks):
+        raise CodecError(f"method {number} or its name {name!r} is taken or out of range")
+    METHODS[name], levels.NAMES[number] = number, name
+    levels.LEVELS[number], levels.BLOCKS[number] = (least, len(blocks) - 1), blocks
+    CODECS[number] = codec
+
+
+def unregister(number: int) -> None:
+    if number in (NONE, HUFFMAN, DEFLATE):
+        raise CodecError("a method of the format itself")
+    METHODS.pop(levels.NAMES.pop(number))
+    del levels.LEVELS[number], levels.BLOCKS[number], CODECS[number]
 
 
 def encode_block(raw: bytes, method: int, level: int) -> bytes:
@@ -22,8 +52,14 @@ def encode_block(raw: bytes, method: int, level: int) -> bytes:
     size = block_size(method, level)
     if len(raw) > size:
         raise CodecError(f"a block of {len(raw)} bytes, over {size}")
-    coder = huffman.encode if method == HUFFMAN else deflate.encode
-    return coder(raw, level, len(raw) < size)
+    return CODECS[method].encode(raw, level, len(raw) < size)
+
+
+def decode_block(data: bytes, at: int, method: int, level: int) -> tuple[bytes, int]:
+    """The content of the block at byte ``at``, and where the next begins."""
+    if method == NONE:
+        return data[at:], len(data)
+    return CODECS[method].decode(data, at, block_size(method, level))
 
 
 def split(raw: bytes, method: int, level: int) -> list[bytes]:
@@ -35,14 +71,32 @@ def encode_content(raw: bytes, method: int, level: int) -> bytes:
     return b"".join(encode_block(b, method, level) for b in split(raw, method, level))
 
 
+def decode_contents(items: list[tuple[bytes | None, int, int]]) -> list[tuple[bytes | None, str | None]]:
+    """(content, error) of each (data, method, level); contents of one kind are decoded together. Null data stay null."""
+    out: list[tuple[bytes | None, str | None]] = [(None, None)] * len(items)
+    together: dict[int, list[int]] = {}
+    for i, (data, method, level) in enumerate(items):
+        if data is None:
+            continue
+        try:
+            check_level(method, level)
+            if method == DEFLATE:
+                together.setdefault(level, []).append(i)
+            else:
+                out[i] = decode_content(data, method, level), None
+        except CodecError as e:
+            out[i] = None, str(e)
+    for level, numbers in together.items():
+        for i, made in zip(numbers, lanes.decode_many([items[i][0] for i in numbers], level), strict=True):
+            out[i] = made
+    return out
+
+
 def decode_content(data: bytes, method: int, level: int) -> bytes:
     """The content of encoded blocks; ``CodecError`` if they are malformed."""
     check_level(method, level)
-    if method == NONE:
-        return data
-    decoder = huffman.decode if method == HUFFMAN else deflate.decode
-    out, at, size = [], 0, block_size(method, level)
+    out, at = [], 0
     while at < len(data):
-        block, at = decoder(data, at, size)
+        block, at = decode_block(data, at, method, level)
         out.append(block)
     return b"".join(out)

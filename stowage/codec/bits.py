@@ -47,6 +47,17 @@ class Reader:
         self.at += n
         return value
 
+    def ahead(self, n: int) -> int:
+        """The next ``n`` bits as a number without taking them, zeros following the end."""
+        first, wide = self.at >> 3, n + 14 >> 3
+        part = self.data[first : first + wide].ljust(wide, b"\0")
+        return int.from_bytes(part, "big") >> (8 * wide - (self.at & 7) - n) & ((1 << n) - 1)
+
+    def skip(self, n: int) -> None:
+        if self.at + n > 8 * len(self.data):
+            raise CodecError("unexpected end of data")
+        self.at += n
+
 
 def windows(data: bytes) -> np.ndarray:
     """The 16 bits from each bit position of ``data`` on, zeros following its end."""

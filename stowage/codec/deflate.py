@@ -44,8 +44,8 @@ def encode(raw: bytes, level: int, final: bool) -> bytes:
     return fields.bytes()
 
 
-def decode(data: bytes, byte: int, size: int) -> tuple[bytes, int]:
-    """The block at ``byte`` and the byte where it ends."""
+def head(data: bytes, byte: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of the block at ``byte`` the bit where its tokens begin, and the code lengths of its two alphabets."""
     reader = Reader(data, byte)
     if reader.read(3) & 0b011 != DYNAMIC:
         raise CodecError("unsupported block type")
@@ -53,10 +53,27 @@ def decode(data: bytes, byte: int, size: int) -> tuple[bytes, int]:
     if n_lengths > LITLEN or n_dist > DIST:
         raise CodecError("too many codes")
     both = read_lengths(reader, n_lengths + n_dist)
-    symbols, sizes = lookup(both[:n_lengths])
-    dist_symbols, dist_sizes = lookup(both[n_lengths:])
+    return reader.at, both[:n_lengths], both[n_lengths:]
+
+
+def joined(value: np.ndarray, distance: np.ndarray) -> bytes:
+    """The bytes of a block's tokens: literals have distance 0."""
+    match = distance > 0
+    literals = value[~match].astype(np.uint8).tobytes()
+    gaps = np.cumsum(~match)[match]
+    try:
+        return lz77.expand(value[match].tolist(), distance[match].tolist(), gaps.tolist(), literals)
+    except ValueError as e:
+        raise CodecError(str(e)) from None
 
-    base, here = reader.at >> 3, reader.at & 7
+
+def decode(data: bytes, byte: int, size: int) -> tuple[bytes, int]:
+    """The block at ``byte`` and the byte where it ends."""
+    at, lengths_of, dist_lengths = head(data, byte)
+    symbols, sizes = lookup(lengths_of)
+    dist_symbols, dist_sizes = lookup(dist_lengths)
+
+    base, here = at >> 3, at & 7
     lengths, distances, done, size_so_far = [], [], False, 0
     while not done:
         length, distance, after, stop = _candidates(data[base : base + SEGMENT + 16], symbols, sizes, dist_symbols, dist_sizes)
@@ -84,15 +101,7 @@ def decode(data: bytes, byte: int, size: int) -> tuple[bytes, int]:
     end = base + (here + 7 >> 3)
     if end > len(data):
         raise CodecError("unexpected end of data")
-    length, distance = np.concatenate(lengths), np.concatenate(distances)
-    match = distance > 0
-    literals = length[~match].astype(np.uint8).tobytes()
-    gaps = np.cumsum(~match)[match]
-    try:
-        out = lz77.expand(length[match].tolist(), distance[match].tolist(), gaps.tolist(), literals)
-    except ValueError as e:
-        raise CodecError(str(e)) from None
-    return out, end
+    return joined(np.concatenate(lengths), np.concatenate(distances)), end
 
 
 def _candidates(part: bytes, symbols: np.ndarray, sizes: np.ndarray, dist_symbols: np.ndarray, dist_sizes: np.ndarray):

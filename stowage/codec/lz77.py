@@ -42,7 +42,8 @@ def longest(raw: bytes, tries: int) -> tuple[np.ndarray, np.ndarray]:
     best, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if n <= MIN_MATCH:
         return best, distance
-    data = np.frombuffer(raw + bytes(8), np.uint8).astype(np.uint64)
+    plain = np.frombuffer(raw + bytes(8), np.uint8)
+    data = plain.astype(np.uint64)
     eight = np.zeros(n + 1, np.uint64)
     for i in range(8):
         eight |= data[i : i + n + 1] << np.uint64(8 * i)
@@ -58,6 +59,10 @@ def longest(raw: bytes, tries: int) -> tuple[np.ndarray, np.ndarray]:
         here, there = here[near], there[near]
         if not len(here):
             break
+        # only places that also agree where the best match so far ends can give a longer one
+        may = np.flatnonzero(plain[here + best[here]] == plain[there + best[here]])
+        keep_here, keep_there = here, there
+        here, there = here[may], there[may]
         length, open_ = np.zeros(len(here), np.int64), np.arange(len(here))
         while len(open_):
             at = length[open_]
@@ -68,8 +73,9 @@ def longest(raw: bytes, tries: int) -> tuple[np.ndarray, np.ndarray]:
         length = np.minimum(length, room[here])
         longer = length > best[here]
         best[here[longer]], distance[here[longer]] = length[longer], (here - there)[longer]
-        keep = (before[there] >= 0) & (best[here] < room[here])
-        here, there = here[keep], before[there[keep]]
+        here, there = keep_here, before[keep_there]
+        keep = (there >= 0) & (best[here] < room[here])
+        here, there = here[keep], there[keep]
     return best, distance
 
 

@@ -113,14 +113,17 @@ def write_lengths(fields: Fields, lengths) -> None:
     own = code_lengths(freqs, LENGTH_LIMIT)
     codes = canonical(own, LENGTH_LIMIT)
     n_codes = max(4, int(np.flatnonzero(own).max(initial=-1)) + 1)
-    fields.add(n_codes - 4, 4)
-    fields.add(own[:n_codes], np.full(n_codes, 3))
+    values, widths = [n_codes - 4, *own[:n_codes].tolist()], [4] + [3] * n_codes
+    code_of, width_of = codes.tolist(), own.tolist()
     for s, n in symbols:
         place = PLACE[s]
-        fields.add(codes[place], own[place])
+        values.append(code_of[place])
+        widths.append(width_of[place])
         if s in RUNS:
             least, extra = RUNS[s]
-            fields.add(n - least, extra)
+            values.append(n - least)
+            widths.append(extra)
+    fields.add(values, widths)
 
 
 def read_lengths(reader: Reader, count: int) -> np.ndarray:
@@ -132,21 +135,26 @@ def read_lengths(reader: Reader, count: int) -> np.ndarray:
     own[:n_codes] = [reader.read(3) for _ in range(n_codes)]
     if not valid(own, LENGTH_LIMIT):
         raise CodecError("length codes don't make a full code")
-    codes = {(int(n), int(c)): LENGTH_ORDER[place] for place, (n, c) in enumerate(zip(own, canonical(own, LENGTH_LIMIT), strict=True)) if n}
+    place_of, size_of = (x.tolist() for x in lookup(own, LENGTH_LIMIT))
+    # the section as one number: it takes at most 14 bits for each length
+    bits = 14 * count + 64
+    ahead, left, mask = reader.ahead(bits), bits, (1 << LENGTH_LIMIT) - 1
     out: list[int] = []
     while len(out) < count:
-        code = n = 0
-        while (n, code) not in codes:
-            if n == LENGTH_LIMIT:
-                raise CodecError("invalid length code")
-            code, n = code << 1 | reader.read(1), n + 1
-        symbol = codes[n, code]
+        prefix = ahead >> (left - LENGTH_LIMIT) & mask
+        size = size_of[prefix]
+        if not size:
+            raise CodecError("invalid length code")
+        left -= size
+        symbol = LENGTH_ORDER[place_of[prefix]]
         if symbol not in RUNS:
             out.append(symbol)
             continue
         least, extra = RUNS[symbol]
-        repeat = least + reader.read(extra)
+        left -= extra
+        repeat = least + (ahead >> left & ((1 << extra) - 1))
         if symbol == 16 and not out or len(out) + repeat > count:
             raise CodecError("invalid repetition of code lengths")
         out += [out[-1] if symbol == 16 else 0] * repeat
+    reader.skip(bits - left)
     return np.array(out, np.int64)

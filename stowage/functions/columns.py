@@ -132,6 +132,89 @@ def distance_extra_bits(distance: C) -> Column:
     return F.when(x < 4, 0).otherwise(F.floor(F.log2(F.greatest(x, F.lit(1)))).cast("int") - 1).cast("int")
 
 
+#: The alphabet of literals and lengths, and marks and fields of packed tokens.
+END_SYMBOL, FIRST_LENGTH_SYMBOL, LAST_LENGTH_SYMBOL, LAST_DISTANCE_SYMBOL = 256, 257, 285, 29
+NO_TOKEN, MATCH_MARK = 0x6000, 0x8000
+
+
+def is_literal(symbol: C) -> Column:
+    return col(symbol) < END_SYMBOL
+
+
+def is_end(symbol: C) -> Column:
+    return col(symbol) == END_SYMBOL
+
+
+def is_length(symbol: C) -> Column:
+    return col(symbol).between(FIRST_LENGTH_SYMBOL, LAST_LENGTH_SYMBOL)
+
+
+def is_distance(symbol: C) -> Column:
+    return col(symbol).between(0, LAST_DISTANCE_SYMBOL)
+
+
+def litlen_symbol(literal: C, length: C) -> Column:
+    """The symbol of a literal byte, or of a length's own symbol where there is no literal."""
+    return F.coalesce(col(literal).cast("int").bitwiseAND(0xFF), col(length).cast("int") + FIRST_LENGTH_SYMBOL)
+
+
+def literal_of(symbol: C) -> Column:
+    return F.when(is_literal(symbol), col(symbol).cast("int"))
+
+
+def length_of(symbol: C) -> Column:
+    """The length's own symbol of one in the joint alphabet."""
+    return F.when(is_length(symbol), col(symbol).cast("int") - FIRST_LENGTH_SYMBOL)
+
+
+def pack_match(extra: C, length: C, distance: C) -> Column:
+    """A packed token: extra bits of the length, its symbol and the distance's symbol, five bits each."""
+    part = lambda c: col(c).cast("int").bitwiseAND(31)
+    return F.lit(MATCH_MARK).bitwiseOR(F.shiftleft(part(extra), 10)).bitwiseOR(F.shiftleft(part(length), 5)).bitwiseOR(part(distance))
+
+
+def pack_distance_extra(extra: C) -> Column:
+    """The packed token that follows a match: up to 13 extra bits of its distance."""
+    return col(extra).cast("int").bitwiseAND(0x1FFF)
+
+
+def token_parts(packed: C) -> Column:
+    """What a packed token holds: whether it is none or a match, and the fields of each reading."""
+    p = col(packed).cast("int")
+    match = p.bitwiseAND(MATCH_MARK) != 0
+    field = lambda shift, mask: F.shiftright(p, shift).bitwiseAND(mask)
+    return F.struct(
+        (p == NO_TOKEN).alias("is_none"),
+        match.alias("is_match"),
+        F.when(match, field(10, 31)).alias("length_extra"),
+        F.when(match, field(5, 31)).alias("length_symbol"),
+        F.when(match, field(0, 31)).alias("distance_symbol"),
+        F.when(~match, field(0, 0x1FFF)).alias("distance_extra"),
+        F.when(~match, field(0, 0xFF)).alias("literal"),
+    )
+
+
+def named(numbers: C, names: dict[str, int]) -> Column:
+    out = F.lit("unknown")
+    for name, number in names.items():
+        out = F.when(col(numbers) == number, name).otherwise(out)
+    return out
+
+
+def compression_string(method: C, level: C) -> Column:
+    """As in ``deflate/8``."""
+    return F.concat(named(method, METHODS), F.lit("/"), col(level).cast("string"))
+
+
+def entry_type_string(entry_type: C) -> Column:
+    return named(entry_type, schema.TYPE_NAMES)
+
+
+def version_string(version: C) -> Column:
+    parts = version_parts(version)
+    return F.concat_ws(".", *(parts[n].cast("string") for n in ("major", "minor", "patch")))
+
+
 def error_chain(*reasons: C) -> Column:
     """Errors from the outermost to the root cause, nulls left out."""
     return F.concat_ws(" because of ", *map(col, reasons))

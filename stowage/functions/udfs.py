@@ -46,7 +46,7 @@ def encode_content(raw: pd.Series, method: pd.Series, level: pd.Series) -> pd.Da
 
 @F.pandas_udf(RESULT)
 def decode_content(data: pd.Series, method: pd.Series, level: pd.Series) -> pd.DataFrame:
-    return _frame([(None, None) if b is None else _tried(codec.decode_content, bytes(b), int(m), int(n)) for b, m, n in zip(data, method, level, strict=True)])
+    return _frame(codec.decode_contents([(None if b is None else bytes(b), int(m), int(n)) for b, m, n in zip(data, method, level, strict=True)]))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -80,10 +80,35 @@ def portable_path(path: pd.Series, is_dir: pd.Series) -> pd.Series:
     return pd.Series([made(p, d) for p, d in zip(path, is_dir, strict=True)], dtype=object)
 
 
+@F.udtf(returnType="archive string, ord bigint, pos bigint, version bigint, content_size bigint, method int, level int, entry_type int, permissions int, path string")
+class ArchiveEntries:
+    """The catalog of the archive at a path, as a table function."""
+
+    def eval(self, path: str):
+        from stowage.sources.archive import ArchiveReader
+
+        reader = ArchiveReader(path, False)
+        for stretch in reader.partitions():
+            for batch in reader.read(stretch):
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+#: Functions in SQL itself, which the optimiser takes apart as it does columns.
+SQL_FUNCTIONS = {
+    "within_dir(path string, dir string) returns boolean": "startswith(path, dir) and (endswith(dir, '/') or length(path) = length(dir) or substr(path, length(dir) + 1, 1) = '/')",
+    "mode_string(entry_type int, permissions int) returns string": "case entry_type when 1 then '-' when 2 then 'd' when 3 then 'l' else '?' end || "
+    + " || ".join(f"if(permissions & {1 << (8 - i)} <> 0, '{'rwx'[i % 3]}', '-')" for i in range(9)),
+    "header_size(path string) returns bigint": f"cast({schema.HEADER_BYTES} + octet_length(path) as bigint)",
+}
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the functions callable from SQL."""
+    """Makes the functions callable from SQL: codecs, headers and paths, directories, modes and sizes, and the catalog of an archive as a table."""
     for name, function in (("encode_block", encode_block), ("encode_content", encode_content), ("decode_content", decode_content), ("huffman_lengths", huffman_lengths), ("header_bytes", header_bytes), ("portable_path", portable_path)):
         spark.udf.register(name, function)
+    spark.udtf.register("archive_entries", ArchiveEntries)
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"create or replace temporary function {head} return {body}")
 
 
-__all__ = ["columns", "decode_content", "encode_block", "encode_content", "header_bytes", "huffman_lengths", "portable_path", "register"]
+__all__ = ["ArchiveEntries", "columns", "decode_content", "encode_block", "encode_content", "header_bytes", "huffman_lengths", "portable_path", "register"]

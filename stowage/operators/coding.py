@@ -51,6 +51,15 @@ def kraft(lengths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("is_valid", (F.col("symbols") <= 1) | (F.col("kraft_sum") == 1 << LIMIT))
 
 
+def kraft_of(lengths: Column | str) -> Column:
+    """``kraft`` of an array of code lengths, inside its row."""
+    used = F.filter(col(lengths), lambda x: x > 0)
+    units = F.array(*(F.lit(1 << (LIMIT - n)).cast("long") for n in range(1, LIMIT + 1)))
+    total = F.aggregate(used, F.lit(0).cast("long"), lambda x, n: x + F.element_at(units, n.cast("int")))
+    symbols = F.size(used).cast("long")
+    return F.struct(total.alias("kraft_sum"), symbols.alias("symbols"), ((symbols <= 1) | (total == 1 << LIMIT)).alias("is_valid"))
+
+
 def runs(lengths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(run, len, reps): runs of equal lengths in the order of ``idx``."""
     order = Window.partitionBy(*by).orderBy("idx")

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage import codec, schema
+from stowage.archive import Archive
+from stowage.codec.levels import LEVELS
+from stowage.codec.levels import table as level_table
 from stowage.functions import columns as c
 from stowage.functions import udfs
-from stowage.operators import blocks, catalog, coding
+from stowage.operators import blocks, catalog, coding, tokens
 from stowage.sources import archive as source
 from stowage.tables import Scratch, table
 
@@ -359,6 +362,61 @@ def compression_ratio(spark, d):
     return out.join(F.broadcast(total)).withColumn("ratio", F.col("plain_bytes") / F.col("encoded_bytes"))
 
 
+_PAIRS = [(m, n) for m, (least, most) in sorted(LEVELS.items()) for n in range(least, most + 1)]
+
+
+@query(
+    f"with pairs(method, level) as (values {', '.join(map(str, _PAIRS))}) select 'm' || method || '/' || level || '/' || doc_id as path, method::int as method, level::int as level, "
+    f"sha256(case when doc_id in (select doc_id from labels where quality = 0) then text || ' changed' else text end) as digest from documents cross join pairs"
+)
+def archive_write_update_read(spark, d):
+    """An archive with every document at every method and level, written, updated and read again."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    poor = t.join(labelled(spark, d, "quality = 0").withColumnRenamed("ord", "doc_id"), "doc_id", "left_semi")
+    a = Archive(spark, Scratch(spark).path("archive"))
+    for rows in (t, poor.withColumn("text", F.concat("text", F.lit(" changed")))):
+        for method, level in _PAIRS:
+            path = F.concat(F.lit(f"m{method}/{level}/"), F.col("doc_id").cast("string"))
+            a.will_append(rows.select(F.col("doc_id").alias("req"), path.alias("path"), F.lit(schema.FILE).alias("entry_type"), F.lit(0o644).alias("permissions"), F.col("text").cast("binary").alias("content")), method, level)
+        a.write()
+    parts = F.split("path", "/")
+    return a.contents().select("path", F.substring(parts[0], 2, 9).cast("int").alias("method"), parts[1].cast("int").alias("level"), F.sha2("content", 256).alias("digest"))
+
+
+@query("with p(method, level) as (values (1, 8), (2, 1), (2, 8)) select method::int as method, level::int as level, (select sum(octet_length(encode(text)))::bigint from documents) as plain_bytes, true as holds from p")
+def compression_floor(spark, d):
+    """Whether contents don't grow, by method and level."""
+    return compression_ratio(spark, d).select("method", "level", "plain_bytes", (F.col("ratio") >= 1).alias("holds"))
+
+
+@query("select doc_id, ((octet_length(encode(text)) + 8191) // 8192)::bigint as blocks, octet_length(encode(text))::bigint as bytes from documents where text <> ''")
+def token_totals(spark, d):
+    """Blocks and bytes of each document, from its tokens and their end symbols."""
+    found = tokens.tokens(table(spark, d, "documents"), "doc_id", "text", 0)
+    sizes = found.groupBy("doc_id").agg(F.sum(F.coalesce("length", F.lit(1))).cast("long").alias("bytes"))
+    ends = tokens.symbol_histogram(found, "doc_id").where((F.col("alphabet") == "litlen") & c.is_end("symbol"))
+    return ends.join(sizes, "doc_id").select("doc_id", F.col("count").alias("blocks"), "bytes")
+
+
+@query("select s::int as symbol, s < 256 as is_literal, s = 256 as is_end, s between 257 and 285 as is_length, s <= 29 as is_distance, case when s < 256 then s end::int as literal, case when s between 257 and 285 then s - 257 end::int as length_symbol from generate_series(0, 299) g(s)")
+def symbol_classes(spark, d):
+    s = spark.range(300).select(F.col("id").cast("int").alias("symbol"))
+    return s.select("symbol", c.is_literal("symbol").alias("is_literal"), c.is_end("symbol").alias("is_end"), c.is_length("symbol").alias("is_length"), c.is_distance("symbol").alias("is_distance"), c.literal_of("symbol").alias("literal"), c.length_of("symbol").alias("length_symbol"))
+
+
+@query("select p::int as packed, p = 24576 as is_none, p >= 32768 as is_match, case when p >= 32768 then (p >> 10) & 31 end::int as length_extra, case when p >= 32768 then (p >> 5) & 31 end::int as length_symbol, case when p >= 32768 then p & 31 end::int as distance_symbol, case when p < 32768 then p & 8191 end::int as distance_extra, case when p < 32768 then p & 255 end::int as literal, case when p >= 32768 then p else p & 8191 end::int as again from generate_series(0, 65535) g(p)")
+def packed_tokens(spark, d):
+    p = spark.range(1 << 16).select(F.col("id").cast("int").alias("packed")).withColumn("t", c.token_parts("packed"))
+    again = F.when(F.col("t.is_match"), c.pack_match("t.length_extra", "t.length_symbol", "t.distance_symbol")).otherwise(c.pack_distance_extra("t.distance_extra"))
+    return p.select("packed", "t.*", again.alias("again"))
+
+
+@query("with t(method, level, block_bytes, lazy_threshold, insert_threshold) as (values " + ", ".join(f"({m}, {n}, {k}, {x}, {y})".replace("None", "null") for m, n, k, x, y in level_table()) + ") select method::int as method, level::int as level, block_bytes::int as block_bytes, lazy_threshold::int as lazy_threshold, insert_threshold::int as insert_threshold, case method when 0 then 'none' when 1 then 'huffman' else 'deflate' end || '/' || level as name from t")
+def compression_levels(spark, d):
+    rows = spark.createDataFrame(level_table(), "method int, level int, block_bytes int, lazy_threshold int, insert_threshold int")
+    return rows.withColumn("name", c.compression_string("method", "level"))
+
+
 # ---------------------------------------------------------------- coding statistics
 
 
@@ -385,8 +443,7 @@ def code_length_kraft(spark, d):
         return pd.Series([np.bincount(np.frombuffer(x, np.uint8), minlength=256).tolist() for x in data])
 
     freqs = table(spark, d, "documents").select("doc_id", histogram(F.col("text").cast("binary")).alias("freqs"))
-    lengths = freqs.select("doc_id", F.posexplode(udfs.huffman_lengths("freqs")).alias("sym", "len"))
-    return coding.kraft(lengths, ("doc_id",))
+    return freqs.select("doc_id", coding.kraft_of(udfs.huffman_lengths("freqs")).alias("k")).select("doc_id", "k.*")
 
 
 _LENGTHS = (15, 15, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 0, 3, 3, 3, 0, 3, 3, 4)

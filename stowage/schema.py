@@ -11,6 +11,7 @@ MAX_PATH = 65535
 
 NO_TYPE, FILE, DIRECTORY, SYMLINK = 0, 1, 2, 3
 TYPE_LETTERS = {NO_TYPE: "?", FILE: "-", DIRECTORY: "d", SYMLINK: "l"}
+TYPE_NAMES = {"none": NO_TYPE, "regular file": FILE, "directory": DIRECTORY, "symlink": SYMLINK}
 PERMISSIONS = 0o777
 
 #: One row per entry; ``ord`` orders the entries of an archive, ``pos`` is the byte at which one begins.
