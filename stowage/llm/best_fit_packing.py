@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.tokens import Encoder
+from stowage.llm.tokens import Encoder, Plan
 from stowage.llm.words import rows_by_bytes
 from stowage.llm.workers import lean
 from stowage.tables import Scratch, table
@@ -96,9 +96,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece of each document's ids followed by ``end_id``."""
+    plan = Plan(tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]):
-        encode = Encoder(tokenizer)
+        encode = Encoder(plan)
         tail = np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in rows_by_bytes(batches, 1):

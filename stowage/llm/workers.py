@@ -11,7 +11,7 @@ import pyarrow as pa
 
 def give_back() -> None:
     """Returns freed memory to the system, which allocators otherwise keep."""
-    gc.collect(1)
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
