@@ -322,7 +322,7 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule, scrat
     ids = scratch.store(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), f"{name}-ids")
     texts = scratch.store(texts_of(docs, ids, sets), f"{name}-texts")
     one, two = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    joined = spread_join(pairs.join(two, "b").select("b", "text_b", "a"), one, ["a"])
+    joined = spread_join(pairs.join(two, "b").select("b", "text_b", "a"), one, ["a"], like=pairs)
     out = scratch.store(joined.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-texts", f"{name}-ids")
     return out
@@ -391,11 +391,11 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     pairs = met.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     pairs = pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    rest = scratch.store(close_enough(pairs, sets, rule), "close2")
+    rest = scratch.store(close_enough(scratch.store(pairs, "pairs"), sets, rule), "close2")
     if not rest.isEmpty():
         links = scratch.store(links.unionByName(linked(rest, docs, sets, rule, scratch, "rest")), "links2")
         roots = connected(links, scratch, "roots2")
-    scratch.drop("hits", "placed", "stars")
+    scratch.drop("hits", "placed", "stars", "pairs")
     return spread_join(known.select("doc_id", "text_number", "n", "set_id"), roots.withColumnRenamed("node", "set_id"), ["set_id"], "left").select("doc_id", "text_number", "n", F.coalesce("root", "set_id").alias("component"))
 
 

@@ -124,6 +124,7 @@ def rebuild(messages: DataFrame) -> DataFrame:
     origin = written.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     quoted = known.select("conv_id", "turn", F.posexplode("quoted").alias("place", "q")).select("conv_id", "turn", "place", "q.level", hashes(parts(F.col("q.lines"))).alias("all"))
     quoted = quoted.select("conv_id", "turn", "place", "level", F.posexplode("all").alias("part", "x")).select("conv_id", "turn", "place", "level", "part", "x.*")
+    quoted = scratch.store(quoted, "quoted")
     linked = spread_join(quoted, origin, ["conv_id", "hash"]).where("origin < turn")
     # the outermost, then the first, then the longest passage decides
     first = F.min(F.struct("level", "place", (-F.col("length")).alias("short"), "part", (-F.col("origin")).alias("late"))).alias("first")

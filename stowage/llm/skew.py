@@ -13,17 +13,20 @@ SIEVE_BUCKETS = 1 << 13
 _BITMAP = 1 << 15
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", like: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has each key once; ``how`` is ``inner`` or ``left``.
 
     Rows of a frequent key are dealt to several tasks, by a hash of their other
     columns, and its row of ``small`` is sent to each of these. Frequent keys
     come from counts combined before they are shuffled; there are at most
-    ``MOST_KEYS``, so their list can be broadcast. Null keys match nothing.
+    ``MOST_KEYS``, so their list can be broadcast. Null keys match nothing. Keys are
+    counted in ``like``, a stored table with the same keys as often, if ``big`` is
+    dear to compute.
     """
-    total = big.agg(F.count(F.lit(1)).alias("n")).scalar()
+    like = big if like is None else like
+    total = like.agg(F.count(F.lit(1)).alias("n")).scalar()
     share = F.greatest(F.lit(LEAST_ROWS), F.ceil(total / MOST_KEYS))
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
+    counts = like.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
     frequent = F.broadcast(counts.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
     others = [c for c in big.columns if c not in keys]
     own = F.xxhash64(*others) if others else F.monotonically_increasing_id()

@@ -207,7 +207,8 @@ def plan(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     if first.count() * KEY_BYTES <= BROADCAST_BYTES:  # then payloads needn't move to find their group
         joined = keyed.join(F.broadcast(first), "key", "left")
     else:
-        joined = spread_join(keyed, first, ["key"], "left")
+        keys = Scratch(pages.sparkSession).store(keyed.select("key"), "keys")
+        joined = spread_join(keyed, first, ["key"], "left", like=keys)
     # of a group without any page number none can be referred to
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("first_id")).alias("refers_to"))

@@ -46,3 +46,26 @@ def test_stages_take_effect(spark, tmp_path):
     assert {i for i in clean if i not in lost} <= kept[4]
     bins = docs.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("offset").alias("k")).collect()
     assert max(r.n for r in bins) <= 2048
+
+
+def tables(spark, folder, rows, labels, items):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _id string, _own int"
+    spark.createDataFrame([(i, t, "en", "s", 1, "x", 2) for i, t in rows], columns).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    item = " ".join(f"item{i}" for i in range(40))
+    rows = [(1, None), (2, ""), (None, "no number"), (3, "twice"), (3, "twice"), (3, "other text"), (4, long), (5, long + " end"), (6, f"before {item} after"), (7, "twice  ")]
+    tables(spark, tmp_path, rows, [(1, None, None), (None, 1, 1)], [(1, item), (2, None)])
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    ids = sorted("-" if i != i else str(int(i)) for i in out[out["piece"] == 0]["doc_id"])
+    assert ids == ["-", "1", "3", "3", "4"]
+    assert (out.groupby("sequence_id")["length"].sum() <= 2048).all()
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
