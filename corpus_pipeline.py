@@ -4,7 +4,14 @@ A document that the toxicity classifier rejects goes; of equal texts and then
 of near-equal ones (five-word shingles, Jaccard similarity 0.8 or more, linked
 directly or through others) the one with the smallest doc_id stays; documents
 that hold a benchmark item go; the rest are packed into token sequences. All
-stages but the last keep the columns of their input.
+stages but the last keep the columns of their input, whatever their names.
+
+Defined results: a null text counts as empty; empty texts are equal to each other,
+so one of them stays, near to nothing and packed as the closing id alone; a null
+doc_id comes after all others where the smallest stays; of rows that repeat
+doc_id and text one stays, of ties in doc_id with different texts each is judged
+by its text; without labels of both kinds no document is toxic, without
+benchmark items none holds one; no documents in, no pieces out.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ from stowage.functions import columns as c
 from stowage.functions import udfs
 from stowage.operators import blocks, catalog, coding, tokens
 from stowage.sources import archive as source
-from stowage.tables import Scratch, table
+from stowage.tables import Scratch, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -247,7 +247,7 @@ _HEADERS = f"select path, 1025::bigint as version, content_size, 1::tinyint as e
 
 @query(f"with {DOCS} {_HEADERS}")
 def header_roundtrip(spark, d):
-    found = written(spark, docs(spark, d).withColumn("payload", F.col("content")), Scratch(spark), payload=False)
+    found = written(spark, spread(docs(spark, d)).withColumn("payload", F.col("content")), Scratch(spark), payload=False)
     return found.select("path", "version", "content_size", "entry_type", "permissions", "method", "level")
 
 
@@ -325,7 +325,7 @@ def block_reassemble(spark, d):
 
 
 def _coded(spark: SparkSession, d: str, method: int, level: int) -> DataFrame:
-    t = table(spark, d, "documents").repartition(max(8, spark.sparkContext.defaultParallelism)).select("doc_id", F.col("text").cast("binary").alias("content"))
+    t = spread(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")))
     return blocks.encode_contents(t, "doc_id", "content", method, level).withColumn("method", F.lit(method)).withColumn("level", F.lit(level))
 
 
@@ -345,7 +345,7 @@ for _level in (0, 4, 8):
 
 @query("select 'docs/' || source || '/' || lang || '/' || doc_id || '.txt' as path, sha256(text) as digest from documents where source = 'src1'")
 def extract_by_prefix(spark, d):
-    made = docs(spark, d).withColumn("payload", udfs.encode_content("content", F.lit(codec.DEFLATE), F.lit(1))["data"]).withColumn("method", F.lit(codec.DEFLATE).cast("tinyint")).withColumn("level", F.lit(1).cast("tinyint"))
+    made = spread(docs(spark, d)).withColumn("payload", udfs.encode_content("content", F.lit(codec.DEFLATE), F.lit(1))["data"]).withColumn("method", F.lit(codec.DEFLATE).cast("tinyint")).withColumn("level", F.lit(1).cast("tinyint"))
     found = written(spark, made, Scratch(spark))
     return blocks.decode_contents(catalog.within(found, "docs/src1")).select("path", F.sha2("content", 256).alias("digest"))
 
@@ -442,7 +442,7 @@ def code_length_kraft(spark, d):
 
         return pd.Series([np.bincount(np.frombuffer(x, np.uint8), minlength=256).tolist() for x in data])
 
-    freqs = table(spark, d, "documents").select("doc_id", histogram(F.col("text").cast("binary")).alias("freqs"))
+    freqs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", histogram(F.col("text").cast("binary")).alias("freqs"))
     return freqs.select("doc_id", coding.kraft_of(udfs.huffman_lengths("freqs")).alias("k")).select("doc_id", "k.*")
 
 
