@@ -37,6 +37,9 @@ MODULI = (2147483629, 2147483587)
 BASES = (911382323, 972663749)
 CHUNK = 4096
 COMPARE_CHUNK = 1 << 16
+#: Longer texts are hashed in parts of this size.
+HUGE_BYTES, PART_BYTES = 32 << 20, 4 << 20
+SPACES = "[\\x20\\x09-\\x0D]+"
 #: Parts of a document that are put together at once.
 PART_RUN = 4096
 #: Keys up to this many bytes are broadcast to pick the rows worth comparing or moving; beyond it a bitmap of fixed size is.
@@ -95,8 +98,8 @@ FACTS = "row_id long, doc_id long, hash_a long, hash_b long, n_bytes long, text_
 KEY = ["hash_a", "hash_b", "n_bytes"]
 
 
-def fingerprint(df: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFrame:
-    """One row of fixed width per row of ``df`` (doc_id, text)."""
+def fingerprint(df: DataFrame, moduli: tuple[int, int] = MODULI, huge_bytes: int = HUGE_BYTES) -> DataFrame:
+    """One row of fixed width per row of ``df`` (doc_id, text). Texts over ``huge_bytes`` are hashed in parts by several tasks."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         maker = Fingerprinter(moduli)
@@ -116,7 +119,14 @@ def fingerprint(df: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFrame:
             )
 
     rows = df.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), FACTS)
+    is_huge = F.coalesce(F.octet_length("text") > huge_bytes, F.lit(False))
+    small = rows.where(~is_huge).mapInArrow(lean(run), FACTS)
+    huge = rows.where(is_huge).select("row_id", "doc_id", F.regexp_replace("text", SPACES, " ").cast("binary").alias("data"))
+    numbers = F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / PART_BYTES).cast("int"))
+    parts = huge.select("row_id", "data", F.explode(numbers).alias("no")).select("row_id", "no", F.substring("data", F.col("no") * PART_BYTES + 1, F.lit(PART_BYTES)).alias("part"))
+    made = fingerprint_parts(parts.repartition("row_id", "no"), "row_id", "no", "part", moduli)
+    told = huge.select("row_id", "doc_id", F.sha2("data", 256).alias("text_sha256")).join(made, "row_id")
+    return small.unionByName(told.select(*small.columns))
 
 
 def fingerprint_parts(parts: DataFrame, key: str, number: str, data: str, moduli: tuple[int, int] = MODULI) -> DataFrame:
@@ -218,7 +228,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = scratch.store(found, "decisions")
     id_, theirs, own = fresh(docs, "_id", "_digest", "_own")
     gone = found.where("not stays").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(theirs))
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ").cast("binary"), 256)
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACES, " ").cast("binary"), 256)
     rows = docs.withColumn(own, digest)
     equal = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(theirs))
     if gone.count() * GONE_BYTES <= BROADCAST_BYTES:  # then texts needn't move

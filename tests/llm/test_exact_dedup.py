@@ -84,3 +84,12 @@ def test_beyond_the_broadcast_limit(spark, monkeypatch):
     got = sorted(map(tuple, d.exact_duplicates(docs, broadcast_bytes=0).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
     assert got == want and kept == [*range(40), *range(300, 500)]
     assert sorted(r.doc_id for r in d.keep_first(docs).collect()) == kept
+
+
+def test_huge_texts_are_hashed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(d, "PART_BYTES", 7)
+    rows = [(1, "é \t" * 40), (2, "a" * 50), (3, "short"), (4, None), (5, " " * 60), (6, "é  " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, parts = (sorted(map(tuple, d.fingerprint(docs, huge_bytes=n).drop("row_id").collect())) for n in (1 << 20, 20))
+    assert whole == parts and len(whole) == 6
+    assert whole[0][1:] == whole[5][1:]
