@@ -10,7 +10,7 @@ words in a long text aren't diluted; by default a window is a single word.
 The table and the softmax are fitted together by Adagrad: first on whole-text
 averages, then on windows: the most toxic window of toxic texts against the
 most toxic and random windows of the others, picked anew in each round. Errors on
-toxic windows weigh more, by the root of the ratio of the classes. Part of the words
+toxic windows weigh more, by a power of the ratio of the classes. Part of the words
 are misspelled at random while learning.
 
 Since window scores are linear in the vectors, scoring needs one number per
@@ -45,6 +45,8 @@ SIZES = (3, 4, 5, 6)
 WINDOW = 1
 DIMENSIONS = 8
 THRESHOLD = 0.7
+#: Errors on toxic windows weigh the ratio of the classes to this power: 0 not at all, 1 to full balance.
+BALANCE = 0.6
 
 
 def fold(text: str | None) -> bytes:
@@ -269,8 +271,8 @@ def train(rows: list[tuple[bytes, int]], rounds: int = 16, rate: float = 0.1, se
     spans = [(t.first[i], t.first[i + 1], k) for i, k in enumerate(labels) if t.first[i + 1] > t.first[i]]
 
     toxic = sum(k for *_, k in spans)
-    # each round has one window of a toxic text and three of another; half of the difference in numbers, in log terms, is made up for
-    weight = (3 * (len(spans) - toxic) / max(1, toxic)) ** 0.5
+    # each round has one window of a toxic text and three of another; part of the difference in numbers is made up for
+    weight = (3 * (len(spans) - toxic) / max(1, toxic)) ** BALANCE
 
     def pass_over(chosen: list[tuple[int, int, int]], size: int) -> None:
         rng.shuffle(chosen)
