@@ -11,7 +11,10 @@ near the boundary are indexed too, for partners beyond it.
 Equal sets are one class from the start. In a list, sets are first compared
 with the list's most central set alone; what links becomes one component. Then
 only pairs of sets from different components are compared, which loses no
-component and spares all pairs inside a group of copies. Such pairs must pass
+component and spares all pairs inside a group of copies. A pair meets in a
+list only if enough of both sets follows there in the order; linked sets do so
+at the first shingle they share, so one of them, the smaller, must come early
+in some list, and sets that are merely akin mostly don't. Such pairs must pass
 parity sketches, a short one while they are joined and one of about a bit per
 shingle before texts are fetched: the sketches of two sets differ in at most
 as many bits as the sets in elements, so they never drop a link. Remaining pairs are compared exactly.
@@ -26,8 +29,10 @@ a frequent key to several tasks. Only texts of sets that may link are moved:
 they are found by a broadcast of their numbers, or beyond ``BROADCAST_BYTES`` of
 these by a broadcast bitmap of fixed size before a shuffle. Which shingles are
 frequent is a bounded list (``HEAVY``) that only sets the order: results don't
-depend on it. It is made from counts over all documents, and made anew from
-the counts of the lists themselves while a list is longer than ``LONG_LIST``.
+depend on it, and the more frequent come later. It is made from counts over all
+documents, and made anew from the counts of the lists themselves if lists
+longer than ``SHORT_LIST`` hold more pairs than there are sets, then again while
+a list is longer than ``LONG_LIST``.
 
 Defined results: null texts and texts without words have no shingles and link
 with nothing (component_id is their own doc_id); a component's number is its
@@ -55,6 +60,8 @@ from stowage.tables import Scratch, table
 
 HEAVY = 1_000_000
 LONG_LIST = 2000
+#: Longer lists than this are counted by their pairs.
+SHORT_LIST = 4
 REFINEMENTS = 3
 #: Subset keys that a small set may have for each list entry it would have otherwise.
 SUBSET_COST = 16
@@ -196,14 +203,23 @@ def frequent(docs: DataFrame, rule: Rule, at_once: int = 1_000_000) -> DataFrame
     return counts.groupBy("shingle").agg(F.sum("count").alias("count")).where("count >= 8")
 
 
-def heaviest(counts: DataFrame, limit: int = HEAVY) -> np.ndarray:
-    """The most frequent shingles, at most ``limit``, sorted; they only set the order of lists."""
-    top = counts.orderBy(F.col("count").desc(), "shingle").limit(limit).select("shingle").toPandas()["shingle"]
-    return np.sort(top.to_numpy(np.int64).view(U))
+def heaviest(counts: DataFrame, known: tuple[np.ndarray, np.ndarray] | None = None, limit: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, at most ``limit`` with those of ``known``, sorted, and the logarithms of their counts; they only set the order of lists."""
+    top = counts.orderBy(F.col("count").desc(), "shingle").limit(limit).select("shingle", "count").toPandas()
+    heavy, ranks = top["shingle"].to_numpy(np.int64).view(U), np.log2(top["count"].to_numpy(np.int64)).astype(np.uint8)
+    if known is not None:
+        heavy, ranks = np.concatenate([heavy, known[0]]), np.concatenate([ranks, known[1]])
+    falling = np.lexsort((heavy, 255 - ranks))
+    heavy, first = np.unique(heavy[falling], return_index=True)
+    ranks = ranks[falling][first]
+    if len(heavy) > limit:
+        keep = np.sort(np.argsort(255 - ranks, kind="stable")[:limit])
+        heavy, ranks = heavy[keep], ranks[keep]
+    return heavy, ranks
 
 
-def entries(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
-    """List entries (shingle, set_id, n) of the sets that are large or near the boundary; once per task for equal sets."""
+def entries(docs: DataFrame, rule: Rule, heavy: np.ndarray, ranks: np.ndarray) -> DataFrame:
+    """List entries (shingle, set_id, n, place in the order) of the sets that are large or near the boundary; once per task for equal sets."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         seen: set[int] = set()
@@ -213,20 +229,26 @@ def entries(docs: DataFrame, rule: Rule, heavy: np.ndarray) -> DataFrame:
                 if len(s) < rule.listed or (number := set_number(s, rule)) in seen:
                     continue
                 seen.add(number)
-                late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s if len(heavy) else np.zeros(len(s), bool)
+                place = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
+                late = heavy[place] == s if len(heavy) else np.zeros(len(s), bool)
                 k = rule.prefix(len(s))
-                head = np.concatenate([s[~late], s[late]])[:k] if late.any() else s[:k]
+                head = np.concatenate([s[~late], s[late][np.argsort(ranks[place[late]], kind="stable")]])[:k] if late.any() else s[:k]
                 numbers.append(number)
                 sizes.append(len(s))
                 heads.append(head)
             if heads:
                 each = [len(h) for h in heads]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(np.array(numbers, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))],
-                    names=["shingle", "set_id", "n"],
+                    [
+                        pa.array(np.concatenate(heads).view(np.int64)),
+                        pa.array(np.repeat(np.array(numbers, np.int64), each)),
+                        pa.array(np.repeat(np.array(sizes, np.int32), each)),
+                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in each])),
+                    ],
+                    names=["shingle", "set_id", "n", "place"],
                 )
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "shingle long, set_id long, n int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "shingle long, set_id long, n int, place int")
 
 
 def subset_keys(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -332,7 +354,7 @@ def classed(hits: DataFrame, percent: int) -> DataFrame:
     """``hits`` in size classes: a set as ``own`` in its class, and as a possible larger partner in the one below."""
     step = math.log(100 / percent)
     own = F.floor(F.log(F.col("n")) / step + 1e-9).cast("int")
-    return hits.select("*", F.explode(F.array(F.struct(own.alias("size"), F.lit(True).alias("own")), F.struct((own - 1).alias("size"), F.lit(False).alias("own")))).alias("c")).select("shingle", "set_id", "n", "c.size", "c.own")
+    return hits.select("*", F.explode(F.array(F.struct(own.alias("size"), F.lit(True).alias("own")), F.struct((own - 1).alias("size"), F.lit(False).alias("own")))).alias("c")).select("shingle", "set_id", "n", "place", "c.size", "c.own")
 
 
 def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -348,12 +370,14 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
     heavy = heaviest(frequent(docs, rule))
     for turn in range(REFINEMENTS + 1):
-        lists = scratch.store(entries(docs, rule, heavy), f"lists{turn}")
+        lists = scratch.store(entries(docs, rule, *heavy), f"lists{turn}")
         counts = scratch.store(lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), f"counts{turn}")
-        if turn == REFINEMENTS or counts.where(F.col("count") > LONG_LIST).isEmpty():
+        long = counts.where(F.col("count") > SHORT_LIST)
+        pairs, longest = long.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.max("count")).first()
+        if turn == REFINEMENTS or (pairs or 0) <= sets.count() or (turn and longest <= LONG_LIST):
             break
-        more = np.union1d(heavy, heaviest(counts.where(F.col("count") > LONG_LIST // 20)))
-        if len(more) == len(heavy) or len(more) > HEAVY:
+        more = heaviest(long, heavy)
+        if np.array_equal(more[0], heavy[0]) and np.array_equal(more[1], heavy[1]):
             break
         heavy = more
         scratch.drop(f"lists{turn}", f"counts{turn}")
@@ -361,6 +385,10 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     scratch.drop(f"lists{turn}", f"counts{turn}")
     spread = classed(hits, rule.percent)
 
+    def least_shared(both: Column) -> Column:
+        """``rule.overlap`` of sets of ``both`` elements together."""
+        return F.floor((rule.percent * both + 99 + rule.percent) / (100 + rule.percent))
+
     def fits(n: str, m: str) -> Column:
         return (F.least(n, m) * 100 >= F.greatest(n, m) * rule.percent)
 
@@ -377,17 +405,20 @@ def clusters(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
     # then sets of different components that share a list
     placed = scratch.store(spread.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "placed")
-    # the sets outside a list's largest component against all others in it
-    parts = placed.groupBy("shingle", "size", "root").agg(F.count(F.lit(1)).alias("k"))
-    mains = parts.groupBy("shingle", "size").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    marked = placed.join(mains, ["shingle", "size"]).join(sets.select("set_id", "marks"), "set_id")
-    odd = marked.where("root <> main").select("shingle", "size", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("root").alias("root_a"), F.col("marks").alias("marks_a"))
+    # where a pair meets at the first shingle that it shares, no more than what follows is shared; elsewhere it needn't meet again
+    placed = placed.withColumn("early", F.col("own") & (F.col("n") - F.col("place") >= least_shared(2 * F.col("n"))))
+    parts = placed.groupBy("shingle", "size", "root").agg(F.count(F.lit(1)).alias("k"), F.max("early").alias("early"))
+    mains = parts.groupBy("shingle", "size").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("early").alias("any")).where("parts > 1 and any").select("shingle", "size", "main")
+    marked = placed.join(mains, ["shingle", "size"]).join(sets.select("set_id", "marks"), "set_id").withColumn("odd", F.col("root") != F.col("main"))
+    # the smaller of a pair comes early; not both are of the list's largest component
+    facing = F.explode(F.when(F.col("odd"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+    smaller = marked.where("early").select("shingle", "size", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("root").alias("root_a"), F.col("marks").alias("marks_a"), facing.alias("odd"))
     differ = sum((F.bit_count(F.get("marks", i).bitwiseXOR(F.get("marks_a", i))) for i in range(MARK_BITS // 64)), F.lit(0))
     both = F.col("n") + F.col("n_a")
-    may_link = differ <= both - 2 * F.floor((rule.percent * both + 99 + rule.percent) / (100 + rule.percent))
+    may_link = differ <= both - 2 * least_shared(both)
+    enough = F.least(F.col("n") - F.col("place"), F.col("n_a") - F.col("place_a")) >= least_shared(both)
     in_order = F.struct("n_a", "a") < F.struct("n", "set_id")
-    once = (in_order | (F.col("root") == F.col("main"))) & F.when(in_order, F.col("own_a")).otherwise(F.col("own"))
-    met = odd.join(marked, ["shingle", "size"]).where((F.col("root_a") != F.col("root")) & fits("n_a", "n") & once & may_link)
+    met = smaller.join(marked, ["shingle", "size", "odd"]).where((F.col("root_a") != F.col("root")) & in_order & fits("n_a", "n") & enough & may_link)
     pairs = met.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     pairs = pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")

@@ -139,3 +139,20 @@ def test_long_chains_connect(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in components.connected(links, Scratch(spark), "c").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_kindred_sets_that_cannot_link_are_not_paired(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(1500)]
+    rows = []
+    for i in range(24):  # 0.69 alike
+        rows.append((i, " ".join(base[:500] + [f"own{i}x{j}" for j in range(270)] + base[770:])))
+    rows += [(100 + i, t + " end") for i, t in rows[:3]]
+    rng.shuffle(rows)
+    stored, store = {}, Scratch.store
+    monkeypatch.setattr(Scratch, "store", lambda self, df, name: stored.setdefault(name, store(self, df, name)))
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: None)
+    found = near_join.clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), Rule(5, 80)).collect()
+    of = {r.doc_id: r.component for r in found}
+    assert len(set(of.values())) == 24 and all(of[i] == of[100 + i] for i in range(3))
+    assert stored["pairs"].count() <= 24
