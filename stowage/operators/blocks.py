@@ -10,14 +10,19 @@ from stowage.functions import udfs
 from stowage.functions.columns import col
 
 
-def split(df: DataFrame, content: Column | str, size: int) -> DataFrame:
-    """``df`` with one row per block: ``block_no``, ``raw`` and ``is_final``; empty contents have none."""
+def split(df: DataFrame, content: Column | str, size: int, outer: bool = False) -> DataFrame:
+    """``df`` with one row per block: ``block_no``, ``raw`` and ``is_final``.
+
+    Empty contents have none; with ``outer`` they and null ones have a row
+    without a ``block_no`` whose ``raw`` is the content, so that no key is lost.
+    """
     data = col(content)
     count = F.ceil(F.octet_length(data) / size).cast("int")
     numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1))
-    out = df.withColumn("_data", data).withColumn("block_no", F.explode(numbers))
+    out = df.withColumn("_data", data).withColumn("block_no", (F.explode_outer if outer else F.explode)(numbers))
     start = (F.col("block_no") * size + 1).cast("int")
-    out = out.withColumn("raw", F.substring(F.col("_data"), start, F.lit(size)))
+    raw = F.substring(F.col("_data"), start, F.lit(size))
+    out = out.withColumn("raw", F.coalesce(raw, F.col("_data")) if outer else raw)
     return out.withColumn("is_final", F.octet_length("raw") < size).drop("_data")
 
 
@@ -28,11 +33,11 @@ def encode(blocks: DataFrame, method: int, level: int) -> DataFrame:
 
 
 def reassemble(blocks: DataFrame, key: str, data: str, *others: str) -> DataFrame:
-    """(key, *others, payload): the blocks of each key joined in the order of ``block_no``."""
+    """(key, *others, payload): the blocks of each key joined in the order of ``block_no``; null if all are."""
     ordered = F.array_sort(F.collect_list(F.struct("block_no", F.col(data).alias("data"))))
     # as hexadecimal digits, since joining binary values one by one copies what is joined already
     joined = F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["data"])), ""))
-    return blocks.groupBy(key).agg(*(F.first(c).alias(c) for c in others), joined.alias("payload"))
+    return blocks.groupBy(key).agg(*(F.first(c).alias(c) for c in others), F.when(F.count(data) > 0, joined).alias("payload"))
 
 
 def encode_rows(df: DataFrame, key: str, content: Column | str, method: int, level: int) -> DataFrame:

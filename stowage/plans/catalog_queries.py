@@ -320,7 +320,7 @@ _DIGEST = "select doc_id, sha256(text) as digest from documents"
 
 @query(_DIGEST)
 def block_reassemble(spark, d):
-    found = blocks.split(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), "content", 4096)
+    found = blocks.split(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), "content", 4096, outer=True)
     return blocks.reassemble(found, "doc_id", "raw").select("doc_id", F.sha2("payload", 256).alias("digest"))
 
 
