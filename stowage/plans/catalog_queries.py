@@ -442,7 +442,8 @@ def code_length_kraft(spark, d):
 
         return pd.Series([np.bincount(np.frombuffer(x, np.uint8), minlength=256).tolist() for x in data])
 
-    freqs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", histogram(F.col("text").cast("binary")).alias("freqs"))
+    # an empty content has no symbols and so no code
+    freqs = spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", histogram(F.col("text").cast("binary")).alias("freqs"))
     return freqs.select("doc_id", coding.kraft_of(udfs.huffman_lengths("freqs")).alias("k")).select("doc_id", "k.*")
 
 
