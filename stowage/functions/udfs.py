@@ -32,16 +32,31 @@ def _frame(rows: list[tuple[bytes | None, str | None]]) -> pd.DataFrame:
     return pd.DataFrame({"data": pd.Series([r[0] for r in rows], dtype=object), "error": pd.Series([r[1] for r in rows], dtype=object)})
 
 
+def _encoded(together, alone, raw: pd.Series, method: pd.Series, level: pd.Series) -> pd.DataFrame:
+    """Those of one method and level encoded together; if that fails, one by one."""
+    out: list[tuple[bytes | None, str | None]] = [(None, None)] * len(raw)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (b, m, n) in enumerate(zip(raw, method, level, strict=True)):
+        if b is not None:
+            kinds.setdefault((int(m), int(n)), []).append(i)
+    for kind, rows in kinds.items():
+        data = [bytes(raw.iat[i]) for i in rows]
+        made, error = _tried(together, data, *kind)
+        for i, r in zip(rows, [(b, None) for b in made] if error is None else [_tried(alone, b, *kind) for b in data], strict=True):
+            out[i] = r
+    return _frame(out)
+
+
 @F.pandas_udf(RESULT)
 def encode_block(raw: pd.Series, method: pd.Series, level: pd.Series) -> pd.DataFrame:
     """One block of content, encoded."""
-    return _frame([(None, None) if b is None else _tried(codec.encode_block, bytes(b), int(m), int(n)) for b, m, n in zip(raw, method, level, strict=True)])
+    return _encoded(codec.encode_blocks, codec.encode_block, raw, method, level)
 
 
 @F.pandas_udf(RESULT)
 def encode_content(raw: pd.Series, method: pd.Series, level: pd.Series) -> pd.DataFrame:
     """A whole content, encoded block by block."""
-    return _frame([(None, None) if b is None else _tried(codec.encode_content, bytes(b), int(m), int(n)) for b, m, n in zip(raw, method, level, strict=True)])
+    return _encoded(codec.encode_contents, codec.encode_content, raw, method, level)
 
 
 @F.pandas_udf(RESULT)
