@@ -9,6 +9,9 @@ from stowage import codec
 from stowage.functions import udfs
 from stowage.functions.columns import col
 
+#: Contents up to this size are encoded by the task that has them.
+WHOLE = 1 << 20
+
 
 def split(df: DataFrame, content: Column | str, size: int, outer: bool = False) -> DataFrame:
     """``df`` with one row per block: ``block_no``, ``raw`` and ``is_final``.
@@ -43,18 +46,22 @@ def reassemble(blocks: DataFrame, key: str, data: str, *others: str) -> DataFram
 def encode_rows(df: DataFrame, key: str, content: Column | str, method: int, level: int) -> DataFrame:
     """``df`` with ``payload`` and ``error``: contents encoded block by block in parallel. Null contents stay null.
 
-    Contents of one block are encoded where they are; only longer ones are
-    shuffled to be put together, by ``key``, which must be unique.
+    Contents of up to ``WHOLE`` bytes are encoded where they are; only longer
+    ones are shuffled by blocks and put together by ``key``, which must be unique.
+    Stored contents need no coding.
     """
     size = codec.block_size(method, level)
+    none = F.lit(None).cast("string")
+    if method == codec.NONE:
+        return df.withColumn("payload", col(content).cast("binary")).withColumn("error", none)
     rows = df.withColumn("_content", col(content).cast("binary"))
-    whole = F.coalesce(F.octet_length("_content") <= size, F.lit(True))
-    short = rows.where(whole).withColumn("_made", udfs.encode_block("_content", F.lit(method), F.lit(level)))
+    whole = F.coalesce(F.octet_length("_content") <= WHOLE, F.lit(True))
+    short = rows.where(whole).withColumn("_made", udfs.encode_content("_content", F.lit(method), F.lit(level)))
     short = short.withColumn("payload", F.col("_made.data")).withColumn("error", F.col("_made.error")).drop("_made", "_content")
     blocks = encode(split(rows.where(~whole), "_content", size).drop("_content"), method, level)
     # blocks are cut to size and levels are checked, so that none can fail
     others = [c for c in df.columns if c != key]
-    long = reassemble(blocks, key, "encoded", *others).withColumn("error", F.lit(None).cast("string"))
+    long = reassemble(blocks, key, "encoded", *others).withColumn("error", none)
     return short.unionByName(long.select(*df.columns, "payload", "error"))
 
 
@@ -66,5 +73,8 @@ def encode_contents(df: DataFrame, key: str, content: Column | str, method: int,
 
 def decode_contents(df: DataFrame, payload: str = "payload", method: Column | str = "method", level: Column | str = "level") -> DataFrame:
     """``df`` with ``content`` and ``error`` in place of the payload."""
-    made = udfs.decode_content(col(payload), col(method), col(level))
-    return df.withColumn("_made", made).withColumn("content", F.col("_made.data")).withColumn("error", F.col("_made.error")).drop("_made", payload)
+    data, stored = col(payload), (col(method) == codec.NONE) & (col(level) == 0)
+    # what is stored as it is needn't go through Python
+    made = udfs.decode_content(F.when(~stored, data), col(method), col(level))
+    out = df.withColumn("_made", made).withColumn("content", F.when(stored, data).otherwise(F.col("_made.data")))
+    return out.withColumn("error", F.when(~stored, F.col("_made.error"))).drop("_made", payload)
