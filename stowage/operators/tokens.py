@@ -37,6 +37,35 @@ def tokens(df: DataFrame, key: str, content: Column | str, level: int) -> DataFr
     return rows.mapInArrow(run, f"key {kind}, block_no int, token_no int, literal int, length int, distance int").withColumnRenamed("key", key)
 
 
+def totals(df: DataFrame, key: str, content: Column | str, level: int) -> DataFrame:
+    """(key, blocks, tokens, bytes) of each content that has tokens: end symbols, tokens, and the bytes that they stand for.
+
+    Counted where the tokens are made, a few blocks at a time, so that no row per token is passed on.
+    """
+    codec.check_level(codec.DEFLATE, level)
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            blocks, owner = [], []
+            for i, data in enumerate(batch.column(1)):
+                found = codec.split(data.as_py() or b"", codec.DEFLATE, level)
+                blocks += found
+                owner += [i] * len(found)
+            ends, count, size = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for first, end in codec.grouped(blocks):
+                value, distance, counts = lz77.tokens_of(blocks[first:end], level)
+                rows = np.array(owner[first:end])
+                np.add.at(ends, rows, 1)
+                np.add.at(count, rows, counts)
+                np.add.at(size, np.repeat(rows, counts), np.where(distance > 0, value, 1))
+            has = np.flatnonzero(ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), *(pa.array(x[has]) for x in (ends, count, size))], names=["key", "blocks", "tokens", "bytes"])
+
+    rows = df.select(F.col(key).alias("key"), col(content).cast("binary").alias("content"))
+    return rows.mapInArrow(run, f"key {kind}, blocks long, tokens long, bytes long").withColumnRenamed("key", key)
+
+
 def is_match(length: Column | str = "length") -> Column:
     return col(length).isNotNull()
 
@@ -50,7 +79,8 @@ def symbols(found: DataFrame) -> DataFrame:
 def symbol_histogram(found: DataFrame, *by: str) -> DataFrame:
     """(by, alphabet, symbol, count) over tokens: 'litlen' with one end symbol for each block, and 'dist'."""
     known = symbols(found)
-    ends = known.groupBy(*dict.fromkeys([*by, "block_no"])).agg(F.lit(1).alias("one")) if "block_no" in by else known.select(*by, "block_no").distinct()
-    litlen = known.select(*by, F.lit("litlen").alias("alphabet"), "symbol").unionByName(ends.select(*by, F.lit("litlen").alias("alphabet"), F.lit(256).alias("symbol")))
-    both = litlen.unionByName(known.where(is_match()).select(*by, F.lit("dist").alias("alphabet"), F.col("dist_symbol").alias("symbol")))
-    return both.groupBy(*by, "alphabet", "symbol").agg(F.count(F.lit(1)).alias("count"))
+    litlen, dist = F.struct(F.lit("litlen").alias("alphabet"), F.col("symbol").cast("int").alias("symbol")), F.struct(F.lit("dist").alias("alphabet"), F.col("dist_symbol").cast("int").alias("symbol"))
+    # each block has one token of number 0
+    end = F.when(F.col("token_no") == 0, F.struct(F.lit("litlen").alias("alphabet"), F.lit(256).alias("symbol")))
+    every = known.select(*by, F.explode(F.array_compact(F.array(litlen, F.when(is_match(), dist), end))).alias("_s"))
+    return every.groupBy(*by, F.col("_s.alphabet").alias("alphabet"), F.col("_s.symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("count"))

@@ -392,10 +392,7 @@ def compression_floor(spark, d):
 @query("select doc_id, ((octet_length(encode(text)) + 8191) // 8192)::bigint as blocks, octet_length(encode(text))::bigint as bytes from documents where text <> ''")
 def token_totals(spark, d):
     """Blocks and bytes of each document, from its tokens and their end symbols."""
-    found = tokens.tokens(table(spark, d, "documents"), "doc_id", "text", 0)
-    sizes = found.groupBy("doc_id").agg(F.sum(F.coalesce("length", F.lit(1))).cast("long").alias("bytes"))
-    ends = tokens.symbol_histogram(found, "doc_id").where((F.col("alphabet") == "litlen") & c.is_end("symbol"))
-    return ends.join(sizes, "doc_id").select("doc_id", F.col("count").alias("blocks"), "bytes")
+    return tokens.totals(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 0).select("doc_id", "blocks", "bytes")
 
 
 @query("select s::int as symbol, s < 256 as is_literal, s = 256 as is_end, s between 257 and 285 as is_length, s <= 29 as is_distance, case when s < 256 then s end::int as literal, case when s between 257 and 285 then s - 257 end::int as length_symbol from generate_series(0, 299) g(s)")
